@@ -123,3 +123,70 @@ def shingles(raw: np.ndarray, at: np.ndarray, n: int = SHINGLE) -> tuple[np.ndar
     """Hashes of the lower-cased (A-Z) word ``n``-shingles of each row, repeated ones too, and each row's first."""
     start, end, row = words(raw, at)
     return sequences(hash_spans(raw, start, end), row, n)
+
+
+#: All ASCII bytes that aren't letters part words of letters; bytes of other characters belong to words.
+NOT_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
+#: A-Z, and the second bytes of Latin-1 capitals, to lower case. Other scripts are only hashed, so a rare clash is harmless.
+FOLD = LOWER.copy()
+FOLD[0x80:0x9F] += 0x20
+FOLD[0x97] = 0x97
+
+
+def affixes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, prefix: tuple[int, ...] = (), suffix: tuple[int, ...] = (), fold: np.ndarray = FOLD) -> list[np.ndarray]:
+    """Hashes of the whole words, then of their first and last so many bytes; 0 for words that aren't longer than that."""
+    parts, k = [], 0
+    while k < len(start):  # blocks of about a megabyte of bytes
+        to = max(k + 1, int(np.searchsorted(end, start[k] + (1 << 20), "right")))
+        parts.append(_affixes(raw, start[k:to], end[k:to], prefix, suffix, fold))
+        k = to
+    if len(parts) == 1:
+        return parts[0]
+    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in range(1 + len(prefix) + len(suffix))]
+
+
+def _affixes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, prefix: tuple[int, ...], suffix: tuple[int, ...], fold: np.ndarray) -> list[np.ndarray]:
+    size = end - start
+    first = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(int(first[-1]), dtype=np.int64) - np.repeat(first[:-1], size)
+    letters = _BYTE[fold][raw[place + np.repeat(start, size)]]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * powers(int(size.max()))[place])])
+    out = [mix(total[first[1:]] - total[first[:-1]] + size.astype(np.uint64) * _PLACE[63])]
+    for k in prefix:
+        got = mix(total[first[:-1] + np.minimum(size, k)] - total[first[:-1]] + _PLACE[40 + k])
+        out.append(np.where(size > k, got, np.uint64(0)))
+    for k in suffix:
+        got = np.full(len(size), _PLACE[50 + k])
+        for j in range(1, k + 1):
+            got = (got ^ letters[np.maximum(first[1:] - j, 0)]) * _PLACE[20 + j]
+        out.append(np.where(size > k, mix(got), np.uint64(0)))
+    return out
+
+
+class Weights:
+    """Hash -> row of weights, without collisions: a table of slots, each of which names its hash.
+
+    Hashes that share a slot with a more important one (an earlier one) are left out."""
+
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray, bits: int = 18) -> None:
+        self.shift = np.uint64(64 - bits)
+        slot = (hashes >> self.shift).astype(np.int64)
+        _, first = np.unique(slot, return_index=True)
+        self.tag = np.zeros(1 << bits, np.uint64)
+        self.tag[slot[first]] = hashes[first]
+        self.row = np.zeros(1 << bits, np.int32)
+        self.row[slot[first]] = first + 1
+        self.weights = np.concatenate([np.zeros((1, *weights.shape[1:]), weights.dtype), weights])
+
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """1 + the number of each hash, 0 for unknown ones."""
+        slot = (hashes >> self.shift).astype(np.int64)
+        return np.where(self.tag[slot] == hashes, self.row[slot], 0) * (hashes != 0)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        return self.weights[self.rows(hashes)]
+
+
+def code_points(raw: np.ndarray) -> np.ndarray:
+    """How many code points begin before each byte, and in all."""
+    return np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])

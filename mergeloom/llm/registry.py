@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["packing", "url_filters", "fingerprints", "pii", "jaccard"]
+MODULES = ["packing", "url_filters", "fingerprints", "pii", "jaccard", "toxicity"]
 
 
 def queries() -> dict:
