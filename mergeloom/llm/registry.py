@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["packing", "url_filters", "fingerprints", "pii", "jaccard", "toxicity", "language", "decontamination", "quality"]
+MODULES = ["packing", "url_filters", "fingerprints", "pii", "jaccard", "toxicity", "language", "decontamination", "quality", "licenses"]
 
 
 def queries() -> dict:
