@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: list[str] = ["dedup", "fusion"]
+MODULES: list[str] = ["dedup", "fusion", "places", "ballots"]
 
 
 def queries() -> dict:
