@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +48,6 @@ def frequency_hash(grid: Column) -> Column:
     """256 bits of a 32 x 32 grid (an array of 1,024 numbers): which of the 16 x 16 lowest frequencies exceed their median.
 
     The cosine transform is two matrix products over whole batches; the constant term isn't part of the median."""
-    import numpy as np
-    import pandas as pd
-
     k, x = np.arange(16)[:, None], np.arange(32)[None, :]
     basis = np.cos(np.pi * k * (2 * x + 1) / 64)
 

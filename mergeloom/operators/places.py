@@ -4,6 +4,8 @@ Every search by distance in time or space is an equi-join on buckets or cells wi
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,9 +103,6 @@ def place_record(rows: DataFrame, key: str, size: float = 0.5, km: float = 50.0,
 
 def greedy_areas(points: DataFrame, key: str, by: str, km: float = 50.0) -> DataFrame:
     """Points, in order of ``key``, join the first area whose running mean is within ``km``, else open one. Sequential within each ``by``."""
-    import numpy as np
-    import pandas as pd
-
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(key)
         mids: list[list[float]] = []

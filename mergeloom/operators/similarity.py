@@ -26,7 +26,7 @@ def hamming_join(df: DataFrame, key: str, value: str, radius: int, bits: int = 6
     bands = _bands(radius, bits)
 
     def part(x: Column, shift: int, width: int) -> Column:
-        return F.call_function("shiftrightunsigned", x, F.lit(shift)).bitwiseAND(F.lit((1 << width) - 1))
+        return F.call_function("shiftrightunsigned", x, F.lit(shift)).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
 
     on = on or []
     own = df.where(F.col(value).isNotNull()).select(*on, F.col(key).alias("k"), F.col(value).alias("h"))

@@ -13,8 +13,8 @@ SIDECAR = "photoTakenTime struct<timestamp: string>, creationTime struct<timesta
 def listing(spark: SparkSession, roots: list[str], heads: bool = True) -> DataFrame:
     """All files below the roots: path, name, size, mtime, priority (a root's place), kind, mime, status and reason.
 
-    Nothing is dropped: empty, skipped and unknown files stay, with the reason. File contents are only read
-    for their first bytes, and not at all with ``heads`` off."""
+    Nothing that the file source delivers is dropped: skipped and unknown files stay, with the reason (it doesn't deliver
+    empty files). Contents are read for their first bytes and hash, and not at all with ``heads`` off."""
     out = None
     for i, root in enumerate(roots):
         one = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).withColumn("priority", F.lit(i))
@@ -23,7 +23,7 @@ def listing(spark: SparkSession, roots: list[str], heads: bool = True) -> DataFr
     own = out.select("path", name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "priority", *([magic(F.substring("content", 1, 4096)).alias("m"), F.sha2("content", 256).alias("sha256")] if heads else []))
     if not heads:
         return own
-    reason = F.when(F.col("size") == 0, "empty").when(skipped(F.col("name")), "never media").when(F.col("m").isNull(), "unknown type")
+    reason = F.when(skipped(F.col("name")), "never media").when(F.col("m").isNull(), "unknown type")
     return own.select("path", "name", "size", "mtime", "priority", "m.kind", "m.mime", "sha256", F.when(reason.isNull(), "scanned").otherwise("skipped").alias("status"), reason.alias("reason"))
 
 
