@@ -4,15 +4,20 @@ The incidence matrix has a row per different shingle set and a column per shingl
 frequent shingles come last. Two sets of n and m shingles that are similar enough share one of their first
 n - ceil(t n) + 1 ones, so only those columns are multiplied. Blocks of columns are dealt by shingle; a column with one
 entry is dropped at once. For the rest, overlap counts are accumulated per pair, and a pair goes if its count and
-what can still follow stay below the bound that its sizes set. The pairs left are counted exactly on whole texts.
+what can still follow stay below the bound that its sizes set. So does one whose sets, summed up in blocks of
+columns (a count of each set's shingles by their leading hash bits, about one for every two shingles), can't
+overlap enough: the lesser counts of all blocks bound the overlap. The pairs left are counted exactly on whole texts.
 
 Groups of thousands of near copies would fill blocks with pairs. So before the full product, each column's
 entries are first multiplied only with one entry of about their size, the column's leader, which is linear; what
 that links is contracted. The full product then takes only pairs that are in different components, which finds
-every link that can still join two of them. Documents with equal sets are one row throughout."""
+every link that can still join two of them. Crowded columns are cut into pairs of bounded blocks of rows, and each
+block pair is multiplied in place: a pair is written only if its summaries leave room for enough overlap, and not again in a
+column that follows one of the pair's first common ones. Documents with equal sets are one row throughout."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -24,16 +29,19 @@ from pyspark.sql import functions as F
 from mergeloom.functions.components import connected_components
 from mergeloom.functions.session import cut, table
 from mergeloom.llm import _text
+from mergeloom.llm._ids import NULL, IdFilter
 
 PERCENT = 80
 LEADER_ROUNDS = 2
 #: Shingles whose frequency is known to the order, at most. It only affects speed: any order is right.
 FREQUENT = 1 << 16
 LOCAL_LEAST = 8
-#: Bits of the filter that lets the texts of candidates through; others are dropped by a join later.
-FILTER_BITS = 1 << 23
-NONE = -(2**63)
-LAST = 2**63 - 1
+#: Columns with more entries are crowded; they're multiplied in blocks of so many rows.
+CROWD = 64
+BLOCK = 2048
+#: Of a row's crowded columns, so many first ones are known to the others.
+FIRST = 8
+BLOCKS_BITS = 8
 
 
 def sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -66,8 +74,43 @@ def similar(both: int, n: int, m: int, percent: int) -> bool:
     return 100 * both >= percent * (n + m - both)
 
 
+def summary(s: np.ndarray) -> bytes:
+    """How many of a set's hashes fall in each of about half as many blocks (256 at least), up to 255."""
+    bits = max(BLOCKS_BITS, int(len(s)).bit_length() - 1)
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def folded(a: bytes, size: int) -> np.ndarray:
+    """A summary with fewer blocks."""
+    return np.frombuffer(a, np.uint8).astype(np.int32).reshape(size, -1).sum(1)
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """No two sets with these summaries differ in fewer shingles. Counts that were capped only lower it, if neither is folded."""
+    size = min(len(a), len(b))
+    x, y = folded(a, size), folded(b, size)
+    if len(a) != len(b) and max(max(a), max(b)) == 255:
+        return 0
+    return int(np.abs(x - y).sum())
+
+
+def enough(differ: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray | bool:
+    """Whether sets of n and m shingles that differ in ``differ`` are similar enough: intersection (n + m - d) / 2, union (n + m + d) / 2."""
+    return 100 * (n + m - differ) >= percent * (n + m + differ)
+
+
+def bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows (a, b, size of a, size of b, summary of a, summary of b) that may be similar enough."""
+    for batch in batches:
+        n, m, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
+        good = []
+        for i in range(len(n)):
+            good.append(x[i] is None or y[i] is None or enough(apart(x[i], y[i]), n[i], m[i], percent))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: doc_id, set size, signature. kind 1: a shingle that is frequent here, and how often."""
+    """kind 0: doc_id, set size, signature, and the set's summary with its first row here. kind 1: a frequent shingle, and how often it's here."""
     seen: set[int] = set()
     pool: list[np.ndarray] = []
     size = 0
@@ -76,13 +119,13 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, n = np.unique(np.concatenate(pool), return_counts=True)
         h, n = h[n >= LOCAL_LEAST].view(np.int64), n[n >= LOCAL_LEAST].astype(np.int64)
         zero = np.zeros(len(h), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(zero + 1, pa.int64()), pa.array(h), pa.array(n), pa.array(zero), pa.array(zero)], names=["kind", "a", "b", "c", "d"])
+        return pa.RecordBatch.from_arrays([pa.array(zero + 1, pa.int64()), pa.array(h), pa.array(n), pa.array(zero), pa.array(zero), pa.nulls(len(h), pa.binary())], names=["kind", "a", "b", "c", "d", "s"])
 
     for batch in batches:
         ids, rows = batch.column(0).to_pylist(), []
         for key, s in zip(ids, sets(batch.column(1)), strict=True):
             one, two = signature(s) if len(s) else (0, 0)
-            rows.append((0, key, len(s), one, two))
+            rows.append((0, key, len(s), one, two, summary(s) if len(s) and one not in seen else None))
             if len(s) and one not in seen:
                 seen.add(one)
                 pool.append(s)
@@ -90,7 +133,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size > 1 << 20:
                 yield frequent()
                 pool, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["kind", "a", "b", "c", "d"])
+        yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], pa.array([r[5] for r in rows], pa.binary())], names=["kind", "a", "b", "c", "d", "s"])
     if pool:
         yield frequent()
 
@@ -175,6 +218,59 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep))
 
 
+def crowd(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb) of the pairs of each block pair that are in different components and may be similar enough.
+
+    Rows are sorted by (token, i, j); those of a block pair are together, 2 * BLOCK or so."""
+    names = ["token", "i", "j", "own", "node", "n", "place", "comp", "first", "s"]
+    held: dict[str, list] = {c: [] for c in names}
+    key = None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if len(held["node"]) < 2:
+            return
+        node, n, comp, own = (np.array(held[c], np.int64) for c in ("node", "n", "comp", "own"))
+        s = np.stack([folded(x, 1 << BLOCKS_BITS) for x in held["s"]])
+        capped = np.array([max(x) == 255 for x in held["s"]])
+        before = [{t for p, t in f if p < q} for f, q in zip(held["first"], held["place"], strict=True)]
+        tally = Counter(t for f in before for t in f).most_common(63)
+        bit = {t: 1 << k for k, (t, _) in enumerate(tally)}
+        seen = np.array([sum(bit.get(t, 0) for t in f) for f in before], np.int64)
+        order = np.lexsort((node, n))
+        node, n, comp, own, s, seen, capped = (x[order] for x in (node, n, comp, own, s, seen, capped))
+        i, j = held["i"][0], held["j"][0]
+        for lo in range(0, len(node), 256):
+            hi = min(lo + 256, len(node))
+            to = int(np.searchsorted(n * percent, n[hi - 1] * 100, "right"))  # larger ones are too large for all of these
+            a, b = np.arange(lo, hi)[:, None], np.arange(lo, to)[None, :]
+            good = (a < b) & (comp[a] != comp[b]) & ((seen[a] & seen[b]) == 0) & (n[b] * percent <= n[a] * 100)
+            if i != j:
+                good &= own[a] != own[b]
+            x, y = np.nonzero(good)
+            x, y = x + lo, y + lo
+            for k in range(0, len(x), 1 << 14):
+                u, v = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
+                differ = np.abs(s[u] - s[v]).sum(1, dtype=np.int64)
+                may = enough(differ, n[u], n[v], percent) | capped[u] | capped[v]
+                u, v = u[may], v[may]
+                if len(u):
+                    swap = node[u] > node[v]
+                    u, v = np.where(swap, v, u), np.where(swap, u, v)
+                    yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v]), pa.array(n[u].astype(np.int32)), pa.array(n[v].astype(np.int32))], names=["a", "b", "na", "nb"])
+
+    for batch in batches:
+        columns_ = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names if c != "first"}
+        first = batch.column(batch.schema.get_field_index("first"))
+        columns_["first"] = [[(f["place"], f["token"]) for f in x] for x in first.to_pylist()]
+        for r, new in enumerate(zip(columns_["token"], columns_["i"], columns_["j"], strict=True)):
+            if new != key:
+                yield from done()
+                held, key = {c: [] for c in names}, new
+            for c in names:
+                held[c].append(columns_[c][r])
+    yield from done()
+
+
 def counted(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(a, b) of the rows (a, b, text of a, text of b) whose shingle sets are similar enough."""
     known: dict[int, np.ndarray] = {}
@@ -204,7 +300,8 @@ class Join:
     def __init__(self, docs: DataFrame, percent: int = PERCENT) -> None:
         self.percent = percent
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        got = cut(self.docs.mapInArrow(scan, "kind long, a long, b long, c long, d long"))
+        got = cut(self.docs.mapInArrow(scan, "kind long, a long, b long, c long, d long, s binary"))
+        self.summaries = got.where("kind = 0 and s is not null").select(F.col("c").alias("node"), "s")
         self.rows = got.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.when(F.col("b") > 0, F.col("c")).alias("node"), F.col("d").alias("check"))
         self.nodes = cut(
             self.rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("check").alias("lo"), F.max("check").alias("hi"))
@@ -236,16 +333,18 @@ class Join:
             pairs.groupBy("a", "b", "na", "nb")
             .agg(F.count(F.lit(1)).alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
             .where((F.col("k") + F.least(n - F.col("pa") - 1, m - F.col("pb") - 1)) * (100 + t) >= t * (n + m))
-            .select("a", "b")
+            .select("a", "b", "na", "nb")
         )
 
     def sized(self, n: str, m: str) -> Column:
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
 
-    def leaders(self, entries: DataFrame, salt: int) -> DataFrame:
-        """Pairs of a column's leader, among entries of about one size, and each other one."""
-        own = entries.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / self.percent)))).withColumn("h", F.xxhash64("node", F.lit(salt)))
-        first = own.groupBy("token", "size").agg(F.min(F.struct("h", "node", "n", "place", "comp")).alias("x"))
+    def leaders(self, entries: DataFrame, step: int) -> DataFrame:
+        """Pairs of a column's leader, among entries of about one size, and each other one.
+
+        At first that's the row with the fewest rarer shingles, the least edited one of a group of copies; then any."""
+        own = entries.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / self.percent)))).withColumn("h", F.xxhash64("node", F.lit(step)))
+        first = own.groupBy("token", "size").agg(F.min(F.struct(F.when(F.lit(step == 0), F.col("place")).otherwise(F.lit(0)).alias("rarer"), "h", "node", "n", "place", "comp")).alias("x"))
         pairs = (
             own.join(first, ["token", "size"])
             .where((F.col("comp") != F.col("x.comp")) & self.sized("n", "x.n"))
@@ -254,29 +353,41 @@ class Join:
         return self.possible(pairs)
 
     def product(self, entries: DataFrame) -> DataFrame:
-        """All pairs of different components that share a column and can be similar enough."""
-        a = entries.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("comp").alias("ca"))
-        b = entries.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("comp").alias("cb"))
+        """All pairs of different components that share a column and can be similar enough. ``entries`` has each column's ``rows``."""
+        few = entries.where(F.col("rows") <= CROWD)
+        a = few.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("comp").alias("ca"))
+        b = few.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("comp").alias("cb"))
         pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.sized("na", "nb"))
-        return self.possible(pairs)
+        # a crowded column's rows, with the first crowded columns of each row and its summary, once per block pair
+        many = entries.where(F.col("rows") > CROWD)
+        first = many.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "token"))), 1, FIRST).alias("first"))  # at most the columns of one row
+        first = first.join(self.summaries.dropDuplicates(["node"]), "node")
+        blocks = F.ceil(F.col("rows") / BLOCK)
+        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        other = F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))
+        dealt = (
+            many.withColumn("own", own).withColumn("other", other).join(first, "node")
+            .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "place", "comp", "first", "s")
+        )
+        parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = dealt.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+        crowded = dealt.mapInArrow(partial(crowd, percent=self.percent), "a long, b long, na int, nb int")
+        return self.possible(pairs).unionByName(crowded).distinct()
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """(u, v) of the pairs (a, b) that are similar enough by an exact count over their whole texts."""
         pairs = cut(pairs)
-        want = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes, "node").select("node", F.coalesce("rep", F.lit(NONE)).alias("rep"))
+        some = self.summaries.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"])
+        a, b = some.select(F.col("node").alias("a"), F.col("s").alias("sa")), some.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+        pairs = cut(pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(partial(bounded, percent=self.percent), "a long, b long"))
+        want = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes, "node").select("node", F.coalesce("rep", F.lit(NULL)).alias("rep"))
         want = cut(want)
-        bit = F.pmod(F.col("rep"), F.lit(FILTER_BITS))
-        words = want.groupBy(F.floor(bit / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("x")).collect()  # a bounded bitmap
-        bitmap = np.zeros(FILTER_BITS // 64, np.int64)
-        for r in words:
-            bitmap[r["w"]] = r["x"]
+        named = IdFilter(want, "rep")
 
         def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for batch in batches:
-                rep = batch.column(0).fill_null(NONE).to_numpy(zero_copy_only=False)
-                at = np.mod(rep, FILTER_BITS)
-                some = pa.RecordBatch.from_arrays([pa.array(rep), batch.column(1)], names=["rep", "text"]).filter(pa.array((bitmap[at // 64] >> (at % 64)) & 1 > 0))
+                some = pa.RecordBatch.from_arrays([batch.column(0).fill_null(NULL), batch.column(1)], names=["rep", "text"]).filter(pa.array(named(batch.column(0))))
                 nodes = [signature(s)[0] if len(s) else None for s in sets(some.column(1))]
                 first = []
                 for x in nodes:
@@ -300,8 +411,8 @@ class Join:
                 own = entries.withColumn("comp", F.col("node"))
             else:
                 own = entries.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-                mixed = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-                own = cut(own.join(mixed, "token", "left_semi"))
+                mixed = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("token", "rows")
+                own = cut(own.join(mixed, "token"))
             found = self.links(self.leaders(own, step) if step < LEADER_ROUNDS else self.product(own))
             every = found if roots is None else found.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
             roots = connected_components(every)
