@@ -245,14 +245,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, b
     Items or texts of fewer than five tokens are one window. Null, empty and wordless ones hold nothing and are held by nothing.
     Repeated documents or items give a row each. Empty tables give no rows. Rows stay where they are."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    blocks = max(1, -(-items.count() // block))
-
-    def one(i: int) -> DataFrame:
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()
-        rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
-        made = prepare([r["item_id"] for r in rows], [r["text"] for r in rows])
 
+    def one(made: Items) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, out = batch.column(0), list(matches(batch.column(1), made, least))
@@ -263,7 +257,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, b
 
         return own.mapInArrow(run, COLUMNS)
 
-    return reduce(DataFrame.unionByName, [one(i) for i in range(blocks)])
+    return reduce(DataFrame.unionByName, [one(made) for made in item_blocks(benchmark, block)])
+
+
+def item_blocks(benchmark: DataFrame, block: int = BLOCK_ITEMS) -> list[Items]:
+    """The items in blocks of about ``block``; at least one block, which may be empty."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    blocks = max(1, -(-items.count() // block))
+    out = []
+    for i in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()
+        rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
+        out.append(prepare([r["item_id"] for r in rows], [r["text"] for r in rows]))
+    return out
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, block: int = BLOCK_ITEMS) -> DataFrame:
+    """``docs`` without the rows whose text holds an item, as ``decontaminate`` finds them. Rows stay where they are."""
+    at = docs.columns.index("text")
+    for made in item_blocks(benchmark, block):
+
+        def clean(batches: Iterator[pa.RecordBatch], made: Items = made) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[x[0] for x in matches(batch.column(at), made, least)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

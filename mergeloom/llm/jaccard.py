@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from mergeloom.functions.components import connected_components
 from mergeloom.functions.session import cut, table
@@ -436,6 +437,38 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return join.rows.join(label, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each class that ``jaccard_join`` finds: one with the class's least doc_id (a null one comes last).
+
+    Of rows with the same doc_id and set one stays. Rows without shingles all stay. Only rows that aren't alone in
+    their class, and few others, are shuffled."""
+    join = Join(docs, percent)
+    roots = join.components()
+    rows = join.rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("rows")).join(join.nodes.select("node", "rep"), "node")
+    owned = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keep = owned.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("keep"), F.sum("rows").alias("all")).where("all > 1")
+    member = cut(owned.join(keep, "root").select("node", (F.col("keep.node") == F.col("node")).alias("_keeps"), F.col("rep").alias("_rep")))
+    named = IdFilter(join.rows.join(member, "node", "left_semi").select("doc_id").distinct(), "doc_id")
+    names, mark = docs.columns, "_shingle_set"
+    at, body = names.index("doc_id"), names.index("text")
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~named(batch.column(at))))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(named(batch.column(at))))
+            text = some.column(body).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array([signature(s)[0] if len(s) else None for s in sets(text)], pa.int64())], names=[*names, mark])
+
+    marked = docs.mapInArrow(others, StructType([*docs.schema.fields, StructField(mark, LongType())]))
+    met = marked.join(member.withColumnRenamed("node", mark), mark, "left")
+    stay = met.where("_keeps is null").select(*names)
+    one = met.where(F.col("_keeps") & F.col("doc_id").cast("long").eqNullSafe(F.col("_rep"))).dropDuplicates(["doc_id", mark]).select(*names)
+    return docs.mapInArrow(alone, docs.schema).unionByName(stay).unionByName(one)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
