@@ -175,9 +175,6 @@ def prepare(ids: list[int], texts: list[str]) -> Items:
                     template.append((int(x), i, j))
             sizes.append((len(set(h.tolist())), len({x for x, ok in zip(g.tolist(), telling, strict=True) if ok})))
             slots.append(own)
-        if not text:
-            sizes.append((0, 0))
-            slots.append([])
     tables = []
     for rows in (plain, template):
         rows.sort()
@@ -209,20 +206,30 @@ def matches(column: pa.Array, items: Items, least: float) -> Iterator[tuple[int,
         for r, item in sorted(got.keys() | seen.keys()):
             n, m = items.sizes[item]
             plain = len(got.get((r, item), ())) / n if n else 0.0
-            template = len(seen.get((r, item), ())) / m if m else 0.0
+            template, aligned = 0.0, []
+            if m and len(seen.get((r, item), ())) >= least * m or plain >= least and m:
+                aligned = _aligned(lines[r, item])
+                template = len({int(g[k - int(t.kept_row[r]) + int(gfirst[r])]) for k, _ in aligned}) / m
             if plain >= least:
                 yield lo + r, item, plain, template, 1.0, "exact"
             elif template >= least:
-                consistency = _consistency(raw, t, items.slots[item], lines[r, item])
+                consistency = _consistency(raw, t, items.slots[item], aligned)
                 if consistency >= least:
                     yield lo + r, item, plain, template, consistency, "reparameterised"
 
 
-def _consistency(raw: np.ndarray, t: Tokens, slots: list[list[tuple[int, bytes]]], lines: dict[int, list[tuple[int, int]]]) -> float:
-    """Along the best alignment: the share of slots whose value follows the most common exchange of the item's value."""
-    _, best = max(lines.items(), key=lambda x: (len({j for _, j in x[1]}), -x[0]))
+def _aligned(lines: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """(window in the document, window in the item) along the alignment with the most windows, give or take a window's length."""
+    if not lines:
+        return []
+    best = max(lines, key=lambda x: (len({j for _, j in lines[x]}), -x))
+    return [p for x in sorted(lines) if abs(x - best) <= WINDOW for p in lines[x]]
+
+
+def _consistency(raw: np.ndarray, t: Tokens, slots: list[list[tuple[int, bytes]]], aligned: list[tuple[int, int]]) -> float:
+    """The share of slots whose value follows the most common exchange of the item's value."""
     places: dict[int, tuple[bytes, bytes]] = {}
-    for k, j in best:
+    for k, j in aligned:
         for p, value in slots[j]:
             places[j + p] = (value, _value(raw, t, k + p))
     if not places:

@@ -171,6 +171,17 @@ def score(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame
     return docs.mapInArrow(run, out)
 
 
+def without_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score at least ``threshold``. Rows stay where they are."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sentence_scores(batch.column(at), model, 2.0)[0] < threshold)) if model else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: bool = True, threshold: float = 0.5) -> DataFrame:
     """Scores each whole text for toxicity.
 
