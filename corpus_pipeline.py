@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity model, trained on the labels of the others in its folds, rejects."""
     labels = table(spark, sf_dir, "labels").where(toxicity.crc_mod(F.col("doc_id"), toxicity.FOLDS) != 0)
     model = toxicity.train(docs, labels.select("doc_id", "toxic"))
-    return toxicity.score(docs, model, TOXIC).where(F.col("score") < TOXIC).select(*docs.columns)
+    return toxicity.without_toxic(docs, model, TOXIC)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
