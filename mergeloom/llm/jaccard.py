@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from mergeloom.functions.components import connected_components
-from mergeloom.functions.session import cut, table
+from mergeloom.functions.session import cut, small_batches, table
 from mergeloom.llm import _text
 from mergeloom.llm._ids import NULL, IdFilter
 
@@ -300,7 +300,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, percent: int = PERCENT) -> None:
         self.percent = percent
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         got = cut(self.docs.mapInArrow(scan, "kind long, a long, b long, c long, d long, s binary"))
         self.summaries = got.where("kind = 0 and s is not null").select(F.col("c").alias("node"), "s")
         self.rows = got.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.when(F.col("b") > 0, F.col("c")).alias("node"), F.col("d").alias("check"))
@@ -385,18 +385,18 @@ class Join:
         want = cut(want)
         named = IdFilter(want, "rep")
 
-        def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # any document with a node's set will do
             seen: set[int] = set()
             for batch in batches:
-                some = pa.RecordBatch.from_arrays([batch.column(0).fill_null(NULL), batch.column(1)], names=["rep", "text"]).filter(pa.array(named(batch.column(0))))
-                nodes = [signature(s)[0] if len(s) else None for s in sets(some.column(1))]
+                text = batch.column(1).filter(pa.array(named(batch.column(0))))
+                nodes = [signature(s)[0] if len(s) else None for s in sets(text)]
                 first = []
                 for x in nodes:
                     first.append(x is not None and x not in seen)
                     seen.add(x)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(nodes, pa.int64()), some.column(1)], names=["rep", "node", "text"]).filter(pa.array(first, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), text], names=["node", "text"]).filter(pa.array(first, pa.bool_()))
 
-        texts = self.docs.mapInArrow(wanted, "rep long, node long, text string").join(want, ["rep", "node"], "left_semi").select("node", "text").dropDuplicates(["node"])
+        texts = self.docs.mapInArrow(wanted, "node long, text string").join(want, "node", "left_semi").dropDuplicates(["node"])
         texts = cut(texts)
         a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
         b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))

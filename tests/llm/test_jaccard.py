@@ -93,3 +93,18 @@ def test_summaries_never_exclude_a_link():
         assert jaccard.apart(jaccard.summary(a), jaccard.summary(b)) <= d
         both = len(np.intersect1d(a, b))
         assert bool(jaccard.enough(d, len(a), len(b), 80)) == jaccard.similar(both, len(a), len(b), 80)
+
+
+def test_filter_that_lets_copies_through(spark, monkeypatch):
+    """Copies of a candidate that come before the one that was asked for must not hide it."""
+
+    class All(jaccard.IdFilter):
+        def __call__(self, ids):
+            import numpy as np
+
+            return np.ones(len(ids), bool)
+
+    monkeypatch.setattr(jaccard, "IdFilter", All)
+    a, b = prose(1, 60), prose(1, 60) + " more words"
+    rows = [(9, a), (8, b), (7, a), (6, b), (5, a), (4, b), (3, prose(2, 60))]
+    check(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
