@@ -27,3 +27,11 @@ def cut(df: DataFrame) -> DataFrame:
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mergeloom-"))
     return df.checkpoint(eager=True)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session was told to hand rows to Python in Arrow batches of at most 4 MB.
+
+    The default of 64 MB is held several times over, by the JVM and by Python, in every running task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df
