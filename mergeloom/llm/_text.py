@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SHINGLE = 5
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -84,8 +84,8 @@ def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.nda
     out = np.zeros(len(start), np.uint64)
     table = _BYTE[fold]
     k = 0
-    while k < len(start):  # blocks of about a megabyte of bytes
-        to = max(k + 1, int(np.searchsorted(end, start[k] + (1 << 20), "right")))
+    while k < len(start):  # blocks of about CHUNK bytes
+        to = max(k + 1, int(np.searchsorted(end, start[k] + CHUNK, "right")))
         s, size = start[k:to], end[k:to] - start[k:to]
         full = size > 0
         ss, ll = s[full], size[full]
@@ -136,8 +136,8 @@ FOLD[0x97] = 0x97
 def affixes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, prefix: tuple[int, ...] = (), suffix: tuple[int, ...] = (), fold: np.ndarray = FOLD) -> list[np.ndarray]:
     """Hashes of the whole words, then of their first and last so many bytes; 0 for words that aren't longer than that."""
     parts, k = [], 0
-    while k < len(start):  # blocks of about a megabyte of bytes
-        to = max(k + 1, int(np.searchsorted(end, start[k] + (1 << 20), "right")))
+    while k < len(start):  # blocks of about CHUNK bytes
+        to = max(k + 1, int(np.searchsorted(end, start[k] + CHUNK, "right")))
         parts.append(_affixes(raw, start[k:to], end[k:to], prefix, suffix, fold))
         k = to
     if len(parts) == 1:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.functions.session import table
+from mergeloom.functions.session import small_batches, table
 from mergeloom.llm import _text
 
 WINDOW = 5
@@ -251,7 +251,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, b
     windows), template_coverage, slot_consistency and kind (``exact``, or ``reparameterised`` if only the templates match).
     Items or texts of fewer than five tokens are one window. Null, empty and wordless ones hold nothing and are held by nothing.
     Repeated documents or items give a row each. Empty tables give no rows. Rows stay where they are."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def one(made: Items) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +290,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, b
                 keep[[x[0] for x in matches(batch.column(at), made, least)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = small_batches(docs).mapInArrow(clean, docs.schema)
     return docs
 
 

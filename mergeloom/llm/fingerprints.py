@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.functions.session import table
+from mergeloom.functions.session import small_batches, table
 from mergeloom.llm import _text
 from mergeloom.llm._order import range_cuts, range_number
 
@@ -93,7 +93,7 @@ def fingerprint(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     doc_id; the first document of each range is also sent to the range before it."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = own.select("doc_id")
     cuts = range_cuts(ids, "doc_id", ranges or 4 * parts)
     heads = {r["part"]: r["head"] for r in ids.groupBy(range_number(F.col("doc_id"), cuts).alias("part")).agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("head")).collect()}  # one row per range

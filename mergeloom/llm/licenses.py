@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.functions.session import table
+from mergeloom.functions.session import small_batches, table
 from mergeloom.llm import _text
 from mergeloom.llm._sample import fitting_sample
 
@@ -216,7 +216,7 @@ def license_scan(docs: DataFrame, least: float = LEAST, similar: float = SIMILAR
     points, end exclusive), probability and similarity. Texts that are null, empty or without notices give no rows; repeated ones
     give theirs each. Ties between families go to the first by name. An empty table gives no rows (the model then knows only its own
     examples). Rows stay where they are."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = fitting_sample(own.where("text is not null"), "doc_id", bound).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])  # about `bound` rows
     model = fit(rows.column("text").to_pylist())
 

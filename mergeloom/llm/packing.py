@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mergeloom.functions.session import cut, table
+from mergeloom.functions.session import cut, small_batches, table
 
 CAPACITY = 1024
 END = 2
@@ -100,7 +100,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
 def grouped(histogram: dict[int, int], groups: int) -> dict[int, int]:

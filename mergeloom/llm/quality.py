@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.functions.session import table
+from mergeloom.functions.session import small_batches, table
 from mergeloom.llm import _text
 from mergeloom.llm._sample import crc_mod, fitting_sample
 
@@ -143,7 +143,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     aren't learned from. Returns doc_id, host, path, held_out, evidence, site (the prior that the site gives), score and keep.
     A null or empty text is judged by its shape, like others; null hosts or paths are sites of their own. Without labels of both kinds
     all evidence is 0 and the prior is the rate, or a half. Repeated rows are scored each. An empty table gives no rows."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"))
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"))
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("y"))
     if held_out:
         marks = marks.where(crc_mod(F.col("doc_id"), FOLDS) != 0)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.functions.session import table
+from mergeloom.functions.session import small_batches, table
 from mergeloom.llm import _text
 from mergeloom.llm._sample import crc_mod, fitting_sample
 
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame
     out = type(schema)([*schema.fields])
     for f in type(schema).fromDDL(kinds).fields:
         out = out.add(f)
-    return docs.mapInArrow(run, out)
+    return small_batches(docs).mapInArrow(run, out)
 
 
 def without_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
@@ -179,7 +179,7 @@ def without_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.5)
         for batch in batches:
             yield batch.filter(pa.array(sentence_scores(batch.column(at), model, 2.0)[0] < threshold)) if model else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: bool = True, threshold: float = 0.5) -> DataFrame:
