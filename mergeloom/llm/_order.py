@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys kept, at most, to choose where ranges are cut. It only balances the work.
-CUT_SAMPLE = 8192
+#: Keys kept per range, at most, to choose where ranges are cut. It only balances the work.
+PER_RANGE = 16
 LEAST = -(2**63)
 
 
 def range_cuts(keys: DataFrame, column: str, ranges: int) -> list[int]:
-    """Ascending long keys at which ranges start, from the keys with the least hashes."""
-    rows = keys.select(F.coalesce(F.col(column), F.lit(LEAST)).alias("k")).orderBy(F.xxhash64("k"), "k").limit(CUT_SAMPLE).collect()
+    """Ascending long keys at which ranges start, from the key with the least hash of each hash bucket."""
+    hashed = keys.select(F.coalesce(F.col(column), F.lit(LEAST)).alias("k")).withColumn("h", F.xxhash64("k"))
+    rows = hashed.groupBy(F.pmod("h", F.lit(PER_RANGE * ranges)).alias("b")).agg(F.min(F.struct("h", "k")).alias("x")).select("x.k").collect()  # at most the buckets
     seen = sorted(r["k"] for r in rows)
     return sorted({seen[i * len(seen) // ranges] for i in range(1, ranges)}) if seen else []
 

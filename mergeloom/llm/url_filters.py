@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from mergeloom.functions.session import table
 
-#: Keys kept, at most, to choose where ranges are cut.
-CUT_SAMPLE = 8192
-LAST = "\U0010ffff"
+#: Ranges per shuffle partition, and keys kept per range, at most, to choose where ranges are cut.
+RANGES = 4
+PER_RANGE = 16
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -72,10 +72,11 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", parts
     rows = parsed(pages)
     tie = F.format_string("%020d", F.pmod(F.xxhash64("page_id", "url"), F.lit(2**62)))
     rows = rows.withColumn("tie", tie)
-    # where ranges are cut only balances the work; the rows with the least hashes are a fair choice
-    seen = [(r["key"], r["tie"]) for r in rows.select("key", "tie").orderBy(F.xxhash64("tie"), "tie").limit(CUT_SAMPLE).collect()]
-    seen.sort()
-    cuts = sorted({seen[i * len(seen) // parts] for i in range(1, parts)}) if seen else []
+    # where ranges are cut only balances the work; the row with the least hash of each hash bucket is a fair choice
+    ranges = RANGES * parts
+    hashed = rows.select("key", "tie", F.xxhash64("tie").alias("h")).groupBy(F.pmod("h", F.lit(PER_RANGE * ranges)).alias("b")).agg(F.min(F.struct("h", "key", "tie")).alias("x"))
+    seen = sorted((r["key"], r["tie"]) for r in hashed.select("x.key", "x.tie").collect())  # at most the buckets
+    cuts = sorted({seen[i * len(seen) // ranges] for i in range(1, ranges)}) if seen else []
 
     @F.pandas_udf("int")
     def range_of(key: pd.Series, tie: pd.Series) -> pd.Series:
