@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.functions.session import table
+from mergeloom.functions.session import small_batches, table
 from mergeloom.llm import _text
 from mergeloom.llm._sample import crc_mod, fitting_sample
 
 #: Labelled documents that the model is fitted on, at most (about), and training chains taken from each.
-FIT_ROWS = 3_000
+FIT_ROWS = 1_500
 FIT_CHAINS = 6
 CHAIN = 32
 AFFIX = (2, 3, 4)
@@ -70,8 +70,8 @@ def emissions(raw: np.ndarray, start: np.ndarray, end: np.ndarray, model: Model,
     slots = trigram_slots(raw)
     size = end - start
     k = 0
-    while k < len(start):  # blocks of about a megabyte of bytes
-        to = max(k + 1, int(np.searchsorted(end, start[k] + (1 << 20), "right")))
+    while k < len(start):  # blocks of about a chunk of bytes
+        to = max(k + 1, int(np.searchsorted(end, start[k] + _text.CHUNK, "right")))
         ll = size[k:to]
         begin = np.concatenate([[0], np.cumsum(ll)[:-1]])
         where = np.arange(int(ll.sum())) - np.repeat(begin, ll) + np.repeat(start[k:to], ll)
@@ -257,7 +257,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     names[i], score[i] = UNKNOWN, 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.minimum(score, 1.0))], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def _plain(text: pa.Scalar) -> bool:
