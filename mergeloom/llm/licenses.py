@@ -3,7 +3,8 @@
 Paragraphs are lines, and sentences of long lines. A multinomial logistic regression on word uni- and bigrams tells
 license families apart and from everything else; it's trained on perturbed notices and on paragraphs of the
 corpus itself, and a temperature, fitted on held-out ones, calibrates its probabilities, so that the unknown
-class gets what isn't sure. A prediction stands if the paragraph also holds enough of a template of the family."""
+class gets what isn't sure. A prediction stands if the paragraph also holds enough of a template of the family,
+or the whole of one of its short notices."""
 
 from __future__ import annotations
 
@@ -43,12 +44,19 @@ TEMPLATES = {
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at", "Licensed under the Mozilla Public License 2.0."],
     "proprietary": ["All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.", "This software is proprietary and may be used only under the terms of a license agreement."],
 }
+#: Notices of so few words that a part of them says nothing; a paragraph must hold the whole.
+NOTICES = {
+    "agpl": ["GNU Affero General Public License", "GNU AGPL"], "apache": ["Apache License", "Apache 2.0 License"], "bsd": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License"], "cc-by": ["CC BY 4.0"], "cc-by-nc": ["CC BY-NC 4.0"],
+    "cc-by-sa": ["CC BY-SA 4.0"], "cc0": ["CC0 1.0"], "gpl": ["GNU General Public License", "GNU GPL"], "isc": ["ISC License"], "lgpl": ["GNU Lesser General Public License", "GNU LGPL"], "mit": ["MIT License"], "mpl": ["Mozilla Public License"],
+    "proprietary": ["All rights reserved."],
+}
 #: Sentences that speak of the same things without granting or naming a license.
 UNRELATED = [
     "The driver must carry a valid license at all times.", "Her license was revoked after the second offence.", "The software version 3 was released in the spring.", "Public transport is free of charge on weekends.",
     "Terms and conditions may apply to this offer.", "The general public was invited to the foundation.", "He took artistic license with the source material.", "The work is available in the library.",
     "They redistribute income under the new law.", "Version 2.0 of the program is under development.", "The apache helicopter landed without warning.", "Students of MIT released a study.",
     "The copyright law was modified by parliament.", "A warranty of two years is provided with the product.", "Permission to enter was granted by the owner.", "The license plate was from another state.",
+    "All seats must be reserved in advance.", "Human rights belong to all people.",
 ]
 
 _NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -66,6 +74,7 @@ class Model:
     bias: np.ndarray
     temperature: float
     templates: list[list[np.ndarray]]
+    notices: list[list[np.ndarray]]
 
 
 def paragraphs(column: pa.Array) -> Iterator[tuple]:
@@ -109,16 +118,18 @@ def fit(corpus: list[str], seed: int = 3) -> Model:
     rng = np.random.Generator(np.random.PCG64(seed))
     families = sorted(TEMPLATES)
     templates = [[_grams(t) for t in TEMPLATES[f]] for f in families]
+    notices = [[_grams(t) for t in NOTICES[f]] for f in families]
     every = [g for f in templates for g in f]
+    short = [g for f in notices for g in f]
     noise: list[str] = []
     for text in corpus:
         lines = [s for line in text.split("\n") for s in line.split(". ") if s.strip()]
         noise += [lines[int(i)] for i in rng.choice(len(lines), min(FIT_PARAGRAPHS, len(lines)), replace=False)] if lines else []
     noise = [" ".join(n.split()[:60]) for n in noise]
-    noise = [x for x, g in ((x, _grams(x)) for x in noise) if not any(_held(g, t) >= SIMILAR / 2 for t in every)]
+    noise = [x for x, g in ((x, _grams(x)) for x in noise) if not any(_held(g, t) >= SIMILAR / 2 for t in every) and not any(_held(g, t) == 1 for t in short)]
     texts, labels = [], []
     for k, f in enumerate(families):
-        for t in TEMPLATES[f]:
+        for t in TEMPLATES[f] + NOTICES[f]:
             for _ in range(PERTURBED):
                 texts.append(_perturbed(t, rng, noise))
                 labels.append(k)
@@ -129,7 +140,7 @@ def fit(corpus: list[str], seed: int = 3) -> Model:
     texts += noise
     labels += [len(families)] * len(noise)
     grams = [_grams(t) for t in texts]
-    known = np.unique(np.concatenate([*every, *[_grams(t) for t in UNRELATED]]))
+    known = np.unique(np.concatenate([*every, *short, *[_grams(t) for t in UNRELATED]]))
     held = rng.random(len(texts)) < 0.3
     y = np.eye(len(families) + 1)[labels]
     x = np.zeros((len(texts), len(known)), np.float32)
@@ -161,7 +172,7 @@ def fit(corpus: list[str], seed: int = 3) -> Model:
         return -float(q[np.arange(len(gold)), gold].mean())
 
     temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
-    return Model(families, known, w, b, temperature, templates)
+    return Model(families, known, w, b, temperature, templates, notices)
 
 
 def _held(grams: np.ndarray, template: np.ndarray) -> float:
@@ -197,6 +208,8 @@ def scan_texts(column: pa.Array, model: Model, least: float = LEAST, similar: fl
             a, b = first[some[i]], stop[some[i]]
             own = np.unique(np.concatenate([g[a:b] for g in grams]))
             like = max(_held(own, t) for t in model.templates[best[i]])
+            if any(_held(own, t) == 1 for t in model.notices[best[i]]):
+                like = 1.0
             if like < similar:
                 continue
             points = _text.code_points(raw) if points is None else points
@@ -212,7 +225,7 @@ def license_scan(docs: DataFrame, least: float = LEAST, similar: float = SIMILAR
     """License notices in whole texts.
 
     docs: doc_id, text; further columns are ignored. Returns a row per paragraph that the classifier gives a family with at least
-    probability ``least`` and that holds at least ``similar`` of one of the family's templates: doc_id, family, start, end (code
+    probability ``least`` and that holds at least ``similar`` of one of the family's templates or the whole of one of its short notices: doc_id, family, start, end (code
     points, end exclusive), probability and similarity. Texts that are null, empty or without notices give no rows; repeated ones
     give theirs each. Ties between families go to the first by name. An empty table gives no rows (the model then knows only its own
     examples). Rows stay where they are."""
