@@ -91,7 +91,7 @@ def gps_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sidecar's JSON as claims: time taken, upload time, a place unless it is null island, a title."""
-    ev = table(spark, sf_dir, "events").where("event_id % 5 = 0")
+    ev = table(spark, sf_dir, "events")
     k = _k(F.col("props"))
     taken = F.unix_seconds(F.col("ts").cast("timestamp"))
     payload = F.to_json(F.struct(

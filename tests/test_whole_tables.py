@@ -16,3 +16,8 @@ def agree(query, sql, spark, sf, oracle):
 def test_tag_claims_of_all_orders(spark, sf, oracle):
     agree(fusion.tag_claims, fusion.SQL["tag_claims"].replace(" WHERE o_orderkey % 10 = 0", ""), spark, sf, oracle)
     assert fusion.tag_claims(spark, sf).select("o_orderkey").distinct().count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+
+
+def test_json_claims_of_all_events(spark, sf, oracle):
+    agree(fusion.json_claims, fusion.SQL["json_claims"].replace(" WHERE event_id % 5 = 0", ""), spark, sf, oracle)
+    assert fusion.json_claims(spark, sf).select("event_id").distinct().count() == spark.read.parquet(f"{sf}/events.parquet").count()
