@@ -106,7 +106,7 @@ def zone_from_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placed events without a zone, with that of the nearest place whose zone is known, under 300 km."""
     own = _rows(spark, sf_dir).where("lat is not null")
     seen = own.where("event_id % 20 = 0").select((F.col("zone") * 3600).alias("offset"), "month", "lat", "lon")
-    got = P.nearest_observation(own.where("event_id % 20 = 1").select("event_id", "lat", "lon", "month"), seen, "event_id")
+    got = P.nearest_observation(own.where("event_id % 20 <> 0").select("event_id", "lat", "lon", "month"), seen, "event_id")
     return got.select("event_id", "offset", F.round("km", 6).alias("km"))
 
 

@@ -1,6 +1,6 @@
 """Queries that must read all rows of their tables: against SQL without the filters that the registered SQL has."""
 
-from mergeloom.plans import fusion
+from mergeloom.plans import fusion, places
 
 from .test_queries import norm
 
@@ -21,3 +21,8 @@ def test_tag_claims_of_all_orders(spark, sf, oracle):
 def test_json_claims_of_all_events(spark, sf, oracle):
     agree(fusion.json_claims, fusion.SQL["json_claims"].replace(" WHERE event_id % 5 = 0", ""), spark, sf, oracle)
     assert fusion.json_claims(spark, sf).select("event_id").distinct().count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_zone_from_place_of_all_placed_events(spark, sf, oracle):
+    """The SQL is brute force: every point against every observation."""
+    agree(places.zone_from_place, places.SQL["zone_from_place"].replace("event_id % 20 = 1", "event_id % 20 <> 0"), spark, sf, oracle)
