@@ -14,6 +14,8 @@ from mergeloom.operators.similarity import hamming_edges, hamming_join
 from mergeloom.operators.survivors import elect, exact_edges, guarded_edges, in_band
 
 RADII = (0, 2, 4, 6, 8)
+#: Recordings of one duration, about, that meet as many others in one group of a join.
+FRAME_BLOCK = 512
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,8 +221,23 @@ def exact_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"))
 
 
+def equal_durations(rows: DataFrame, block: int = FRAME_BLOCK) -> DataFrame:
+    """All pairs of recordings (conv_id_a < conv_id_b) of one duration.
+
+    A duration's recordings are dealt into blocks of about ``block``; each block meets each, so no group of the join holds a whole large duration."""
+    sizes = rows.groupBy("duration").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = rows.join(sizes, "duration").withColumn("block", F.pmod(F.xxhash64("conv_id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a, b = ([F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "duration"] for s in "ab")
+    met = own.select("duration", F.col("block").alias("i"), every.alias("j"), *a).join(own.select("duration", every.alias("i"), F.col("block").alias("j"), *b), ["duration", "i", "j"])
+    return met.where("conv_id_a < conv_id_b").drop("i", "j")
+
+
 def frame_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on conversations as recordings: equal streams, else three frames (turns at 10, 50 and 90 %) compared bit by bit."""
+    """Verdicts on conversations as recordings: equal streams, else three frames (turns at 10, 50 and 90 %) compared bit by bit.
+
+    Candidates are all pairs of one duration: durations are whole numbers, so none else are within the reference's 0.15. Conversations have no time of their own to bound
+    candidates by."""
     turns = table(spark, sf_dir, "conversations").where("text is not null")
     n = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
     h = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long")
@@ -228,9 +245,7 @@ def frame_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = own.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", h.alias("h")))).alias("f")).select("conv_id", F.transform("f", lambda x: x["h"]).alias("frames"))
     stream = turns.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "|")).alias("stream"), F.max("turn").alias("duration"))
     rows = frames.join(stream, "conv_id")
-    first = rows.withColumn("k", F.element_at("frames", 1) % 64)
-    a, b = (first.select(F.col("k"), F.col("duration"), *[F.col(c).alias(f"{c}_{s}") for c in ("conv_id", "frames", "stream")]) for s in "ab")
-    pairs = a.join(b, ["k", "duration"]).where("conv_id_a < conv_id_b")
+    pairs = equal_durations(rows)
     far = F.array_max(F.zip_with("frames_a", "frames_b", lambda x, y: hamming(x, y)))
     return pairs.select(F.col("conv_id_a").alias("a"), F.col("conv_id_b").alias("b"), far.cast("long").alias("farthest"), recording_outcome(F.col("stream_a"), F.col("stream_b"), F.col("frames_a"), F.col("frames_b"), 24).alias("outcome"))
 

@@ -1,6 +1,6 @@
 """Queries that must read all rows of their tables: against SQL without the filters that the registered SQL has."""
 
-from mergeloom.plans import fusion, places
+from mergeloom.plans import dedup, fusion, places
 
 from .test_queries import norm
 
@@ -26,3 +26,15 @@ def test_json_claims_of_all_events(spark, sf, oracle):
 def test_zone_from_place_of_all_placed_events(spark, sf, oracle):
     """The SQL is brute force: every point against every observation."""
     agree(places.zone_from_place, places.SQL["zone_from_place"].replace("event_id % 20 = 1", "event_id % 20 <> 0"), spark, sf, oracle)
+
+
+def test_frame_match_of_all_equal_durations(spark, sf, oracle):
+    agree(dedup.frame_match, dedup.SQL["frame_match"].replace(" AND a.frames[1] % 64 = b.frames[1] % 64", ""), spark, sf, oracle)
+
+
+def test_equal_durations_is_brute_force(spark):
+    rows = [(i, i % 3 if i % 4 else 7) for i in range(60)]
+    want = sorted((a, b) for a, x in rows for b, y in rows if a < b and x == y)
+    table = spark.createDataFrame(rows, "conv_id long, duration long")
+    for block in (1, 4, 1000):
+        assert sorted((r.conv_id_a, r.conv_id_b) for r in dedup.equal_durations(table, block).collect()) == want
