@@ -38,3 +38,15 @@ def test_equal_durations_is_brute_force(spark):
     table = spark.createDataFrame(rows, "conv_id long, duration long")
     for block in (1, 4, 1000):
         assert sorted((r.conv_id_a, r.conv_id_b) for r in dedup.equal_durations(table, block).collect()) == want
+
+
+def test_exact_tiers_of_whole_texts(spark, sf, oracle):
+    whole = r"md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g')))"
+    agree(dedup.exact_tiers, dedup.SQL["exact_tiers"].replace("md5(substr(text, 1, 40))", whole), spark, sf, oracle)
+
+
+def test_exact_tiers_of_a_common_opening(spark, tmp_path):
+    opening = "The same first forty characters of every text: "
+    texts = [opening + "one", opening + "two", opening + "  ONE", opening + "two", "other"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.group_id for r in dedup.exact_tiers(spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 0, 3: 1, 4: 4}
