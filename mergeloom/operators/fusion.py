@@ -11,6 +11,12 @@ TIME_RANK = {"manual": -1, "exif": 0, "quicktime": 1, "xmp": 2, "google_json": 3
 GROUP_SECONDS = 60
 ZONE_HOURS = 14
 CONFLICT_HOURS = 24
+#: Sources that a batch job stamps, sources of offsets by trust, what a stamp or a wall clock without an offset loses, and the start of 1990.
+STAMPED = ("exif", "quicktime", "google_json")
+OFFSET_RANK = {"exif": 0, "quicktime": 1, "xmp": 2}
+BATCH_PENALTY = 0.25
+LOCAL_PENALTY = 0.9
+EARLIEST = 631_152_000
 
 
 def ranked(source: Column, ranks: dict[str, int], other: int = 99) -> Column:
@@ -33,6 +39,35 @@ def islands(rows: DataFrame, by: list[str], time: str, gap: int, name: str) -> D
     return rows.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def time_pool(claims: DataFrame, owner: str, field: str, time: str, source: str, confidence: str, least: int) -> DataFrame:
+    """The claims that ``resolve_time`` may choose from: owner, time, source, confidence and whether the time is ``unanchored``.
+
+    claims: owner, field, time, source, confidence; time is in seconds: the instant of a ``datetime_utc``, the wall clock of a ``datetime_local``, the
+    shift of a ``utc_offset``. Instants of file systems (``fs``) count only where the owner has nothing else, and beside manual instants no others do.
+    Wall clocks of sources without an instant in the pool are anchored with the owner's best offset, or taken as they are at 0.9 of their
+    confidence. Times that are null or before 1990 say nothing. Claims of cameras and sidecars in minutes in which ``least`` or more owners have
+    such instants are lowered to a quarter."""
+    utc, local = F.col(field) == "datetime_utc", F.col(field) == "datetime_local"
+    source_name = F.coalesce(F.col(source), F.lit(""))
+    instant = utc & (source_name != "fs")
+    order = F.struct(ranked(F.col(source), OFFSET_RANK).alias("r"), (-F.col(confidence)).alias("c"), F.col(time).alias("t"))
+    known = claims.groupBy(owner).agg(
+        F.max(instant & (source_name == "manual")).alias("_manual"), F.collect_set(F.when(instant, source_name)).alias("_sources"), F.max(instant | (local & F.col(time).isNotNull())).alias("_some"),
+        F.min(F.when((F.col(field) == "utc_offset") & F.col(source).isin(list(OFFSET_RANK)) & F.col(time).isNotNull(), order)).getField("t").alias("_shift"),
+    )
+    own = claims.join(known, owner)
+    have = F.when(F.col("_manual"), F.array(F.lit("manual"))).otherwise(F.col("_sources"))
+    taken = F.when(utc, F.when(F.col("_some"), instant & (~F.col("_manual") | (source_name == "manual"))).otherwise(True)).otherwise(local & ~F.array_contains(have, source_name))
+    anchored = F.when(local, F.col(time) - F.coalesce("_shift", F.lit(0))).otherwise(F.col(time))
+    unanchored = local & F.col("_shift").isNull()
+    pool = own.where(taken).select(owner, anchored.alias(time), source, F.when(unanchored, F.col(confidence) * LOCAL_PENALTY).otherwise(F.col(confidence)).alias(confidence), unanchored.alias("unanchored"))
+    minute = F.floor(F.col(time) / 60).alias("_minute")
+    batch = claims.where(utc & F.col(source).isin(list(STAMPED))).groupBy(minute).agg(F.count_distinct(owner).alias("_owners")).where(F.col("_owners") >= least).select("_minute", F.lit(True).alias("_batch"))
+    met = pool.where(F.col(time) >= EARLIEST).withColumn("_minute", minute).join(batch, "_minute", "left")
+    lowered = F.when(F.col("_batch") & F.col(source).isin(list(STAMPED)), F.col(confidence) * BATCH_PENALTY).otherwise(F.col(confidence))
+    return met.select(owner, time, source, lowered.alias(confidence), "unanchored")
+
+
 def resolve_time(claims: DataFrame, owner: str, time: str, source: str, confidence: str) -> DataFrame:
     """One time per owner from claims (owner, time in seconds, source, confidence).
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mergeloom.functions.geo import haversine_km
 from mergeloom.functions.session import table
-from mergeloom.operators.fusion import batch_minutes, best_claim, islands, ranked, resolve_time
+from mergeloom.operators.fusion import batch_minutes, best_claim, islands, ranked, resolve_time, time_pool
 
 SOURCES = {"click": "exif", "view": "quicktime", "purchase": "google_json", "signup": "filename", "error": "fs"}
 GPS_RANK = {"exif": 0, "quicktime": 1, "google_json": 2}
@@ -54,9 +54,10 @@ def claim_time_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_time_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One time per item, with the reason and how many claims lost."""
-    own = _claims(spark, sf_dir).where("source <> 'fs'")
-    return resolve_time(own, "item", "t", "source", "confidence").withColumn("competing", F.col("competing").cast("long"))
+    """One time per item, with the reason and how many claims lost. Events are instants; there are no wall clocks or offsets among them."""
+    own = _claims(spark, sf_dir).withColumn("field", F.lit("datetime_utc"))
+    pool = time_pool(own, "item", "field", "t", "source", "confidence", 2)
+    return resolve_time(pool, "item", "t", "source", "confidence").withColumn("competing", F.col("competing").cast("long"))
 
 
 def downgraded_claims(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries that must read all rows of their tables: against SQL without the filters that the registered SQL has."""
 
+from mergeloom.operators.fusion import resolve_time, time_pool
 from mergeloom.plans import dedup, fusion, places
 
 from .test_queries import norm
@@ -50,3 +51,34 @@ def test_exact_tiers_of_a_common_opening(spark, tmp_path):
     texts = [opening + "one", opening + "two", opening + "  ONE", opening + "two", "other"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.group_id for r in dedup.exact_tiers(spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 0, 3: 1, 4: 4}
+
+
+def test_claim_time_choice_of_all_items(spark, sf, oracle):
+    pool = """FROM (SELECT c.* REPLACE (CASE WHEN m IS NOT NULL AND source IN ('exif', 'quicktime', 'google_json') THEN confidence * 0.25 ELSE confidence END AS confidence)
+FROM c LEFT JOIN (SELECT t // 60 AS m FROM c WHERE source IN ('exif', 'quicktime', 'google_json') GROUP BY 1 HAVING count(DISTINCT item) >= 2) ON m = t // 60
+WHERE source <> 'fs' OR item NOT IN (SELECT item FROM c WHERE source <> 'fs'))"""
+    agree(fusion.claim_time_choice, fusion.SQL["claim_time_choice"].replace("FROM c WHERE source <> 'fs'", pool, 1), spark, sf, oracle)
+    assert fusion.claim_time_choice(spark, sf).count() == fusion._claims(spark, sf).select("item").distinct().count()
+
+
+def test_time_pool(spark):
+    t, h = 1_500_000_000, 3600
+    rows = [
+        ("only fs", "datetime_utc", t, "fs", 0.1),
+        ("with fs", "datetime_utc", t, "exif", 0.8), ("with fs", "datetime_utc", t - 9, "fs", 0.9),
+        ("anchored", "datetime_local", t + 2 * h, "exif", 0.5), ("anchored", "utc_offset", 2 * h, "quicktime", 0.9), ("anchored", "utc_offset", h, "xmp", 1.0), ("anchored", "utc_offset", None, "exif", 1.0), ("anchored", "datetime_utc", t + 5, "fs", 0.9),
+        ("unanchored", "datetime_local", t, "filename", 0.5),
+        ("has instant", "datetime_utc", t + 600, "exif", 0.8), ("has instant", "datetime_local", t, "exif", 0.8),
+        ("manual", "datetime_utc", t + 7200, "manual", 1.0), ("manual", "datetime_utc", t + 7200, "exif", 0.8), ("manual", "datetime_local", t, "filename", 0.5),
+        ("batch a", "datetime_utc", t + 90_000, "exif", 0.8), ("batch a", "datetime_utc", t + 90_001, "filename", 0.3), ("batch b", "datetime_utc", t + 90_002, "google_json", 0.8),
+        ("null atom", "datetime_utc", 0, "exif", 0.8), ("null atom", "datetime_utc", t, "fs", 0.1), ("unread", "datetime_utc", None, "exif", 0.8), ("unread local", "datetime_local", None, "exif", 0.8), ("unread local", "datetime_utc", t, "fs", 0.1),
+    ]
+    pool = time_pool(spark.createDataFrame(rows, "item string, field string, t long, source string, confidence double"), "item", "field", "t", "source", "confidence", 2)
+    got = sorted((r.item, r.t, r.source, round(r.confidence, 6), r.unanchored) for r in pool.collect())
+    assert got == sorted([
+        ("only fs", t, "fs", 0.1, False), ("with fs", t, "exif", 0.8, False), ("anchored", t, "exif", 0.5, False), ("unanchored", t, "filename", 0.45, True), ("has instant", t + 600, "exif", 0.8, False),
+        ("manual", t + 7200, "manual", 1.0, False), ("manual", t, "filename", 0.45, True), ("batch a", t + 90_000, "exif", 0.2, False), ("batch a", t + 90_001, "filename", 0.3, False), ("batch b", t + 90_002, "google_json", 0.2, False),
+        ("unread local", t, "fs", 0.1, False),
+    ])
+    chosen = {r["item"]: r for r in resolve_time(pool, "item", "t", "source", "confidence").collect()}
+    assert chosen["only fs"].source == "fs" and chosen["batch a"].source == "filename" and chosen["anchored"].t == t
