@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts and benchmark items become token sequences twice: plainly, and as templates, in which numbers, names and units
-are typed placeholders (runs of numbers or names are one). Windows of five tokens are looked up in a hash
-table of the items' windows. A document holds an item if enough of its plain windows occur, or if
+are typed placeholders (runs of numbers or names are one). Windows of five tokens, and of as many as shorter items
+have, are looked up in a hash table of the items' windows. A document holds an item if enough of its plain windows occur, or if
 enough of its template windows do and the values in the slots are consistent: wherever the
 item has one value, the document has one value as well. So questions whose numbers and names were exchanged are found.
 
@@ -137,6 +137,7 @@ class Items:
     sizes: list[tuple[int, int]]  # of plain windows, of telling template windows
     tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # plain, template: sorted hashes, item, window number
     slots: list[list[list[tuple[int, bytes]]]]  # item -> window -> (place, value)
+    widths: tuple[list[int], list[int]]  # plain, template: tokens in an item's windows
 
     def __post_init__(self) -> None:
         self.present = []
@@ -156,9 +157,13 @@ class Items:
         for k in range(int(np.searchsorted(known, h, "left")), int(np.searchsorted(known, h, "right"))):
             yield int(item[k]), int(number[k])
 
+    def lengths(self, which: int) -> list[int]:
+        """The widths of windows to look up. A hash tells its width, so a table holds all of them."""
+        return sorted({w for w in self.widths[which] if w})
+
 
 def prepare(ids: list[int], texts: list[str]) -> Items:
-    sizes, plain, template, slots = [], [], [], []
+    sizes, plain, template, slots, widths = [], [], [], [], ([], [])
     for i, text in enumerate(texts):
         for _, _, raw, at in _text.chunks(pa.array([text], pa.large_string())):
             t = tokens(raw, at)
@@ -175,45 +180,58 @@ def prepare(ids: list[int], texts: list[str]) -> Items:
                     template.append((int(x), i, j))
             sizes.append((len(set(h.tolist())), len({x for x, ok in zip(g.tolist(), telling, strict=True) if ok})))
             slots.append(own)
+            widths[0].append(min(WINDOW, len(t.plain)))
+            widths[1].append(width)
     tables = []
     for rows in (plain, template):
         rows.sort()
         tables.append((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)))
-    return Items(ids, sizes, tables, slots)
+    return Items(ids, sizes, tables, slots, widths)
 
 
 def matches(column: pa.Array, items: Items, least: float) -> Iterator[tuple[int, int, float, float, float, str]]:
     """(row, item, plain coverage, template coverage, slot consistency, kind) of each item that a row holds."""
     for lo, _, raw, at in _text.chunks(column):
         t = tokens(raw, at)
-        h, first = _text.sequences(t.plain, t.row, WINDOW)
-        g, gfirst = _text.sequences(t.template, t.kept_row, WINDOW)
         got: dict[tuple[int, int], set[int]] = defaultdict(set)
-        hit = items.hits(0, h)
-        rows = np.searchsorted(first, hit, "right") - 1
-        for k, r in zip(hit.tolist(), rows.tolist(), strict=True):
-            for item, _ in items.owners(0, h[k]):
-                got[r, item].add(int(h[k]))
+        for width in items.lengths(0):
+            h, first = _text.sequences(t.plain, t.row, width)
+            hit = items.hits(0, h)
+            rows = np.searchsorted(first, hit, "right") - 1
+            if width < WINDOW:  # a few common words: once a row is enough
+                _, once = np.unique(np.stack([rows.astype(np.uint64), h[hit]]), axis=1, return_index=True)
+                hit, rows = hit[once], rows[once]
+            for k, r in zip(hit.tolist(), rows.tolist(), strict=True):
+                for item, _ in items.owners(0, h[k]):
+                    if items.widths[0][item] == width:
+                        got[r, item].add(int(h[k]))
         seen: dict[tuple[int, int], set[int]] = defaultdict(set)
         lines: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        hit = items.hits(1, g)
-        rows = np.searchsorted(gfirst, hit, "right") - 1
-        for k, r in zip(hit.tolist(), rows.tolist(), strict=True):
-            for item, j in items.owners(1, g[k]):
-                seen[r, item].add(int(g[k]))
-                own = int(t.kept_row[r]) + k - int(gfirst[r])  # the window's first kept token
-                lines[r, item][own - j].append((own, j))
+        templates = {}
+        for width in items.lengths(1):
+            g, gfirst = templates[width] = _text.sequences(t.template, t.kept_row, width)
+            hit = items.hits(1, g)
+            rows = np.searchsorted(gfirst, hit, "right") - 1
+            for k, r in zip(hit.tolist(), rows.tolist(), strict=True):
+                for item, j in items.owners(1, g[k]):
+                    if items.widths[1][item] == width:
+                        seen[r, item].add(int(g[k]))
+                        own = int(t.kept_row[r]) + k - int(gfirst[r])  # the window's first kept token
+                        lines[r, item][own - j].append((own, j))
         for r, item in sorted(got.keys() | seen.keys()):
             n, m = items.sizes[item]
             plain = len(got.get((r, item), ())) / n if n else 0.0
             template, aligned = 0.0, []
             if m and len(seen.get((r, item), ())) >= least * m or plain >= least and m:
                 aligned = _aligned(lines[r, item])
+                g, gfirst = templates[items.widths[1][item]]
                 template = len({int(g[k - int(t.kept_row[r]) + int(gfirst[r])]) for k, _ in aligned}) / m
             if plain >= least:
                 yield lo + r, item, plain, template, 1.0, "exact"
             elif template >= least:
-                consistency = _consistency(raw, t, items.slots[item], aligned)
+                # a short item is one window, which any of its occurrences may hold
+                ways = [aligned] if items.widths[1][item] == WINDOW else [[p] for x in lines[r, item].values() for p in x]
+                consistency = max(_consistency(raw, t, items.slots[item], way) for way in ways)
                 if consistency >= least:
                     yield lo + r, item, plain, template, consistency, "reparameterised"
 
@@ -249,7 +267,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, b
     docs: doc_id, text; benchmark: item_id, text; further columns are ignored. Returns a row for each pair of a
     document and an item of which it holds at least ``least`` of the distinct windows: doc_id, item_id, coverage (of plain
     windows), template_coverage, slot_consistency and kind (``exact``, or ``reparameterised`` if only the templates match).
-    Items or texts of fewer than five tokens are one window. Null, empty and wordless ones hold nothing and are held by nothing.
+    An item of fewer than five tokens is one window of as many, which a document may hold anywhere. Null, empty and wordless ones hold nothing and are held by nothing.
     Repeated documents or items give a row each. Empty tables give no rows. Rows stay where they are."""
     own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
