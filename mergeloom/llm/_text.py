@@ -164,9 +164,9 @@ def _affixes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, prefix: tuple[
 
 
 class Weights:
-    """Hash -> row of weights, without collisions: a table of slots, each of which names its hash.
+    """Hash -> row of weights: a table of slots, each of which names its hash.
 
-    Hashes that share a slot with a more important one (an earlier one) are left out."""
+    Hashes that share a slot with an earlier one are found in a sorted list, which is only searched for slots that have such."""
 
     def __init__(self, hashes: np.ndarray, weights: np.ndarray, bits: int = 18) -> None:
         self.shift = np.uint64(64 - bits)
@@ -176,12 +176,23 @@ class Weights:
         self.tag[slot[first]] = hashes[first]
         self.row = np.zeros(1 << bits, np.int32)
         self.row[slot[first]] = first + 1
+        rest = np.setdiff1d(np.arange(len(hashes)), first)
+        rest = rest[np.argsort(hashes[rest], kind="stable")]
+        self.rest, self.rest_row = hashes[rest], (rest + 1).astype(np.int32)
+        self.full = np.zeros(1 << bits, bool)
+        self.full[slot[rest]] = True
         self.weights = np.concatenate([np.zeros((1, *weights.shape[1:]), weights.dtype), weights])
 
     def rows(self, hashes: np.ndarray) -> np.ndarray:
         """1 + the number of each hash, 0 for unknown ones."""
         slot = (hashes >> self.shift).astype(np.int64)
-        return np.where(self.tag[slot] == hashes, self.row[slot], 0) * (hashes != 0)
+        out = np.where(self.tag[slot] == hashes, self.row[slot], 0) * (hashes != 0)
+        if len(self.rest):
+            miss = np.flatnonzero(self.full[slot] & (out == 0))
+            h = hashes[miss]
+            k = np.minimum(np.searchsorted(self.rest, h), len(self.rest) - 1)
+            out[miss] = np.where((self.rest[k] == h) & (h != 0), self.rest_row[k], 0)
+        return out
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         return self.weights[self.rows(hashes)]

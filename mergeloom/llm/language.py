@@ -236,7 +236,7 @@ def shares(column: pa.Array, model: Model, known: _text.Weights) -> np.ndarray:
 
 def train(docs: DataFrame, bound: int = FIT_ROWS) -> Model | None:
     """Fits on about ``bound`` documents, at most, that have a text and a lang."""
-    rows = fitting_sample(docs.where("text is not null and lang is not null"), "doc_id", bound).select("doc_id", "text", "lang").toArrow()  # about `bound` rows
+    rows = fitting_sample(docs.where("text is not null and lang is not null").select("doc_id", "text", "lang"), bound).toArrow()  # at most `bound` rows
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
 

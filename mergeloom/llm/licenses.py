@@ -230,7 +230,7 @@ def license_scan(docs: DataFrame, least: float = LEAST, similar: float = SIMILAR
     give theirs each. Ties between families go to the first by name. An empty table gives no rows (the model then knows only its own
     examples). Rows stay where they are."""
     own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = fitting_sample(own.where("text is not null"), "doc_id", bound).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])  # about `bound` rows
+    rows = fitting_sample(own.where("text is not null"), bound).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])  # about `bound` rows
     model = fit(rows.column("text").to_pylist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

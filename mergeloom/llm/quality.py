@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.functions.session import small_batches, table
+from mergeloom.functions.session import cut, small_batches, table
 from mergeloom.llm import _text
 from mergeloom.llm._sample import crc_mod, fitting_sample
 
-#: Labelled documents that the classifier is fitted on, at most (about).
+#: Labelled documents that the classifier is fitted on, at most.
 FIT_ROWS = 10_000
 BINS = 12
 FOLDS = 5
@@ -147,7 +147,8 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("y"))
     if held_out:
         marks = marks.where(crc_mod(F.col("doc_id"), FOLDS) != 0)
-    sample = own.select("doc_id", "text").join(F.broadcast(fitting_sample(marks, "doc_id", bound)), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])  # about `bound` rows
+    labelled = own.select("doc_id", "text").join(F.broadcast(fitting_sample(marks, bound)), "doc_id")  # at most `bound` labels
+    sample = fitting_sample(labelled, bound).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])  # at most `bound` rows
     y = sample.column("y").to_numpy() > 0
     model = fit(shape(sample.column("text").combine_chunks()), y) if len(y) else None
 
@@ -157,7 +158,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
     rows = own.mapInArrow(run, "doc_id long, host string, path string, evidence double")
     counted = own.select("doc_id", "host", "path").join(marks, "doc_id")
-    paths = counted.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
+    paths = cut(counted.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")))  # read four times below
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     rate = (whole["k"] + 1) / (whole["n"] + 2) if whole["n"] else 0.5

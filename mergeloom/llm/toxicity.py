@@ -19,7 +19,7 @@ from mergeloom.functions.session import small_batches, table
 from mergeloom.llm import _text
 from mergeloom.llm._sample import crc_mod, fitting_sample
 
-#: Labelled documents that the model is fitted on, at most (about).
+#: Labelled documents that the model is fitted on, at most.
 FIT_ROWS = 10_000
 #: Features that the model keeps, at most.
 FEATURES = 16_384
@@ -142,11 +142,10 @@ def sentence_scores(column: pa.Array, model: Model, least: float) -> tuple[np.nd
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Model | None:
-    """Fits on about ``bound`` labelled documents, at most. docs: doc_id, text; labels: doc_id, toxic."""
+    """Fits on ``bound`` different labelled documents, at most. docs: doc_id, text; labels: doc_id, toxic."""
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = fitting_sample(own, "doc_id", bound)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").where("text is not null").toArrow()  # about `bound` rows
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    labelled = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(fitting_sample(own, bound)), "doc_id")  # at most `bound` labels
+    rows = fitting_sample(labelled, bound).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])  # at most `bound` rows
     return fit(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy() > 0)
 
 

@@ -115,6 +115,6 @@ def test_licenses(spark, docs, odd, empty):
     assert [got[i][1] if i in got else None for i in range(len(texts))] == list(texts.values())
     assert list(texts)[1][got[1][2] : got[1][3]] == "Released under the MIT License"
     found = licenses.license_scan(docs).collect()
-    marks = ("Licensed under CC BY-NC 4.0", "Released under the MIT License", "Licensed under the Apache License", "licensed under the GNU General Public License")
+    marks = ("All rights reserved.", "Licensed under CC BY-NC 4.0", "Released under the MIT License", "Licensed under the Apache License", "licensed under the GNU General Public License")
     assert {r.doc_id for r in found} == {r.doc_id for r in docs.collect() if any(m in r.text for m in marks)}
     assert licenses.license_scan(odd).count() == 0 and licenses.license_scan(empty).count() == 0
