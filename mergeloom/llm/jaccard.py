@@ -11,14 +11,19 @@ overlap enough: the lesser counts of all blocks bound the overlap. The pairs lef
 Groups of thousands of near copies would fill blocks with pairs. So before the full product, each column's
 entries are first multiplied only with one entry of about their size, the column's leader, which is linear; what
 that links is contracted. The full product then takes only pairs that are in different components, which finds
-every link that can still join two of them. Crowded columns are cut into pairs of bounded blocks of rows, and each
-block pair is multiplied in place: a pair is written only if its summaries leave room for enough overlap, and not again in a
-column that follows one of the pair's first common ones. Documents with equal sets are one row throughout."""
+every link that can still join two of them. Crowded columns are cut by the size classes of the pair, each of which
+only takes the entries whose place leaves room for enough overlap, and then into bounded blocks of rows; a
+component that fills blocks has blocks of its own, which meet all others but each other. So a column in which a great
+group meets a few strangers is linear in the group. Each block pair is multiplied in place: a pair is written only if its
+summaries leave room for enough overlap, and not again in a column that follows one of the pair's first common
+ones. Documents with equal sets are one row throughout.
+
+Rows are named by 64 bits of their sets' 128-bit signatures; those whose 64 bits two sets share, if any, by all of them."""
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -37,9 +42,13 @@ LEADER_ROUNDS = 2
 #: Shingles whose frequency is known to the order, at most. It only affects speed: any order is right.
 FREQUENT = 1 << 16
 LOCAL_LEAST = 8
+#: Entries of a shingle that is known to be frequent are dealt to one task per so many.
+SPREAD = 256
 #: Columns with more entries are crowded; they're multiplied in blocks of so many rows.
 CROWD = 64
 BLOCK = 2048
+#: Size classes up to the largest ratio of similar sizes.
+CLASSES = 4
 #: Of a row's crowded columns, so many first ones are known to the others.
 FIRST = 8
 BLOCKS_BITS = 8
@@ -58,12 +67,20 @@ def sets(texts: pa.Array) -> Iterator[np.ndarray]:
             yield s
 
 
-def signature(s: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit hashes of a set."""
+def signature(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two independent 64-bit hashes of a set; of the first one, tests may keep fewer bits."""
     one = int(np.add.reduce(_text.mix(s + np.uint64(0x51ED270B)))) + len(s) * 0x9E3779B97F4A7C15
     two = int(np.add.reduce(_text.mix(s ^ np.uint64(0xA0761D6478BD642F))))
     pair = _text.mix(np.array([one & (2**64 - 1), two & (2**64 - 1)], np.uint64)).view(np.int64)
-    return int(pair[0]), int(pair[1])
+    return int(pair[0]) if bits == 64 else int(pair[0]) & ((1 << bits) - 1), int(pair[1])
+
+
+def row_key(one: int, two: int, clash: frozenset[int]) -> int:
+    """The name of the row with this signature; ``clash`` has the first halves that several signatures have."""
+    if one not in clash:
+        return one
+    both = (two ^ (one << 1)) & (2**64 - 1)
+    return both - 2**64 if both >= 2**63 else both
 
 
 def required(n: int, percent: int) -> int:
@@ -110,9 +127,9 @@ def bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def scan(batches: Iterator[pa.RecordBatch], bits: int = 64) -> Iterator[pa.RecordBatch]:
     """kind 0: doc_id, set size, signature, and the set's summary with its first row here. kind 1: a frequent shingle, and how often it's here."""
-    seen: set[int] = set()
+    seen: set[tuple[int, int]] = set()
     pool: list[np.ndarray] = []
     size = 0
 
@@ -125,10 +142,10 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, rows = batch.column(0).to_pylist(), []
         for key, s in zip(ids, sets(batch.column(1)), strict=True):
-            one, two = signature(s) if len(s) else (0, 0)
-            rows.append((0, key, len(s), one, two, summary(s) if len(s) and one not in seen else None))
-            if len(s) and one not in seen:
-                seen.add(one)
+            one, two = signature(s, bits) if len(s) else (0, 0)
+            rows.append((0, key, len(s), one, two, summary(s) if len(s) and (one, two) not in seen else None))
+            if len(s) and (one, two) not in seen:
+                seen.add((one, two))
                 pool.append(s)
                 size += len(s)
             if size > 1 << 20:
@@ -139,11 +156,13 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield frequent()
 
 
-def columns(batches: Iterator[pa.RecordBatch], hot: np.ndarray, rank: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """The entries (shingle, set, set's size, place in the set's order) that the product needs."""
+def columns(batches: Iterator[pa.RecordBatch], hot: np.ndarray, rank: np.ndarray, spread: np.ndarray, percent: int, key: Callable[[np.ndarray], int]) -> Iterator[pa.RecordBatch]:
+    """The entries (shingle, salt, set, set's size, place in the set's order) that the product needs.
+
+    Entries of a frequent shingle have one of ``spread`` salts above 0, by their set."""
     seen: set[int] = set()
     for batch in batches:
-        tokens, nodes, sizes, places = [], [], [], []
+        tokens, salts, nodes, sizes, places = [], [], [], [], []
         held = 0
 
         def flush() -> pa.RecordBatch:
@@ -151,86 +170,88 @@ def columns(batches: Iterator[pa.RecordBatch], hot: np.ndarray, rank: np.ndarray
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([*tokens, np.zeros(0, np.uint64)]).view(np.int64)),
+                    pa.array(np.concatenate([*salts, np.zeros(0, np.int32)]).astype(np.int32)),
                     pa.array(np.repeat(np.array(nodes, np.int64), n)),
                     pa.array(np.repeat(np.array(sizes, np.int32), n)),
                     pa.array(np.concatenate([*places, np.zeros(0, np.int32)]).astype(np.int32)),
                 ],
-                names=["token", "node", "n", "place"],
+                names=["token", "salt", "node", "n", "place"],
             )
 
         for s in sets(batch.column(0)):
             if not len(s):
                 continue
-            node = signature(s)[0]
+            node = key(s)
             if node in seen:
                 continue
             seen.add(node)
             n = len(s)
+            salt = np.zeros(n, np.int32)
             if len(hot):
                 k = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                 late = hot[k] == s
                 if late.any():
-                    tail = s[late]
-                    s = np.concatenate([s[~late], tail[np.argsort(rank[k[late]], kind="stable")]])
+                    order = np.argsort(rank[k[late]], kind="stable")
+                    salt = np.concatenate([salt[~late], np.where(spread[k[late]] > 1, node % spread[k[late]] + 1, 0)[order]])
+                    s = np.concatenate([s[~late], s[late][order]])
             first = n - required(n, percent) + 1
             tokens.append(s[:first])
+            salts.append(salt[:first])
             nodes.append(node)
             sizes.append(n)
             places.append(np.arange(first, dtype=np.int32))
             held += first
             if held > 200_000:
                 yield flush()
-                tokens, nodes, sizes, places, held = [], [], [], [], 0
+                tokens, salts, nodes, sizes, places, held = [], [], [], [], [], 0
         yield flush()
 
 
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by (token, node), those of tokens with several nodes, each once."""
+    """Of entries sorted by (token, salt, node), those of tokens with several nodes or with salts, each once."""
     rest: pa.RecordBatch | None = None  # the entries of the last token so far, if they're one node's
-    last_token = last_node = None
+    last: tuple | None = None  # token, salt and node of the last entry passed on
     for batch in batches:
         if not batch.num_rows:
             continue
         if rest is not None:
             batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
             rest = None
-        t, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])
-        if last_token is not None and t[0] == last_token and v[0] == last_node:
+        t, salt, v = (batch.column(i).to_numpy() for i in range(3))
+        begin = np.ones(len(t), bool)
+        begin[1:] = (t[1:] != t[:-1]) | (salt[1:] != salt[:-1])
+        new = begin.copy()
+        new[1:] |= v[1:] != v[:-1]
+        goes_on = last is not None and (t[0], salt[0]) == last[:2]
+        if goes_on and v[0] == last[2]:
             new[0] = False
-        same = np.zeros(len(t), bool)  # has a neighbour of the same token and another node
-        same[1:] |= (t[1:] == t[:-1]) & (v[1:] != v[:-1])
         # a token is shared if any of its neighbours differ in node; spread that over the token's run
-        begin = np.ones(len(t), bool)
-        begin[1:] = t[1:] != t[:-1]
         run = np.cumsum(begin) - 1
         many = np.zeros(run[-1] + 1, bool)
-        np.logical_or.at(many, run[same], True)
-        if last_token is not None and t[0] == last_token:
-            many[0] = True  # the batch before has passed on another node of this token
+        many[run[new & ~begin]] = True
+        many[run[salt > 0]] = True
+        many[0] |= goes_on  # the batch before has passed on another node of this token
         keep = many[run] & new
-        if not many[-1]:  # the last token may go on in the next batch
-            tail = int(np.flatnonzero(run == run[-1])[0])
-            rest = batch.slice(tail, 1)
-            last_token = last_node = None
-        else:
-            last_token, last_node = t[-1], v[-1]
-        yield batch.filter(pa.array(keep))
+        if many[-1]:
+            last = (t[-1], salt[-1], v[-1])
+        else:  # the last token may go on in the next batch
+            rest, last = batch.slice(int(np.flatnonzero(run == run[-1])[0]), 1), None
+        yield batch.filter(pa.array(keep)).drop_columns(["salt"])
 
 
 def crowd(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(a, b, na, nb) of the pairs of each block pair that are in different components and may be similar enough.
 
-    Rows are sorted by (token, i, j); those of a block pair are together, 2 * BLOCK or so."""
-    names = ["token", "i", "j", "own", "node", "n", "place", "comp", "first", "s"]
+    Rows are sorted by (token, lo, hi, i, j); those of a block pair are together, 2 * BLOCK or so."""
+    names = ["token", "lo", "hi", "i", "j", "own", "side", "node", "n", "place", "comp", "first", "s"]
     held: dict[str, list] = {c: [] for c in names}
     key = None
 
     def done() -> Iterator[pa.RecordBatch]:
         if len(held["node"]) < 2:
             return
-        node, n, comp, own = (np.array(held[c], np.int64) for c in ("node", "n", "comp", "own"))
+        node, n, comp, place, side = (np.array(held[c], np.int64) for c in ("node", "n", "comp", "place", "side"))
+        own = np.array([x == held["i"][0] for x in held["own"]])
         s = np.stack([folded(x, 1 << BLOCKS_BITS) for x in held["s"]])
         capped = np.array([max(x) == 255 for x in held["s"]])
         before = [{t for p, t in f if p < q} for f, q in zip(held["first"], held["place"], strict=True)]
@@ -238,15 +259,18 @@ def crowd(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         bit = {t: 1 << k for k, (t, _) in enumerate(tally)}
         seen = np.array([sum(bit.get(t, 0) for t in f) for f in before], np.int64)
         order = np.lexsort((node, n))
-        node, n, comp, own, s, seen, capped = (x[order] for x in (node, n, comp, own, s, seen, capped))
-        i, j = held["i"][0], held["j"][0]
+        node, n, comp, own, side, s, seen, capped = (x[order] for x in (node, n, comp, own, side, s, seen, capped))
+        left = (n - place[order]) * (100 + percent)  # the overlap that the place leaves room for
+        crossed, sided = held["i"][0] != held["j"][0], held["lo"][0] != held["hi"][0]
         for lo in range(0, len(node), 256):
             hi = min(lo + 256, len(node))
             to = int(np.searchsorted(n * percent, n[hi - 1] * 100, "right"))  # larger ones are too large for all of these
             a, b = np.arange(lo, hi)[:, None], np.arange(lo, to)[None, :]
-            good = (a < b) & (comp[a] != comp[b]) & ((seen[a] & seen[b]) == 0) & (n[b] * percent <= n[a] * 100)
-            if i != j:
+            good = (a < b) & (comp[a] != comp[b]) & ((seen[a] & seen[b]) == 0) & (np.minimum(left[a], left[b]) >= percent * (n[a] + n[b]))
+            if crossed:
                 good &= own[a] != own[b]
+            if sided:
+                good &= side[a] != side[b]
             x, y = np.nonzero(good)
             x, y = x + lo, y + lo
             for k in range(0, len(x), 1 << 14):
@@ -263,7 +287,7 @@ def crowd(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         columns_ = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names if c != "first"}
         first = batch.column(batch.schema.get_field_index("first"))
         columns_["first"] = [[(f["place"], f["token"]) for f in x] for x in first.to_pylist()]
-        for r, new in enumerate(zip(columns_["token"], columns_["i"], columns_["j"], strict=True)):
+        for r, new in enumerate(zip(*(columns_[c] for c in names[:5]), strict=True)):
             if new != key:
                 yield from done()
                 held, key = {c: [] for c in names}, new
@@ -298,33 +322,45 @@ def counted(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 class Join:
     """One run of the join over ``docs`` (doc_id, text)."""
 
-    def __init__(self, docs: DataFrame, percent: int = PERCENT) -> None:
-        self.percent = percent
+    def __init__(self, docs: DataFrame, percent: int = PERCENT, bits: int = 64) -> None:
+        self.percent, self.bits = percent, bits
         self.docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        got = cut(self.docs.mapInArrow(scan, "kind long, a long, b long, c long, d long, s binary"))
-        self.summaries = got.where("kind = 0 and s is not null").select(F.col("c").alias("node"), "s")
-        self.rows = got.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.when(F.col("b") > 0, F.col("c")).alias("node"), F.col("d").alias("check"))
-        self.nodes = cut(
-            self.rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-        )
-        if self.nodes.where("lo <> hi").limit(1).count():
-            raise ArithmeticError("two different shingle sets have one 64-bit signature")
-        # the most frequent shingle of each hash bucket: a bounded table
-        hot = (
-            got.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("b").alias("n"))
-            .groupBy(F.pmod("token", F.lit(FREQUENT)).alias("bucket")).agg(F.max(F.struct("n", "token")).alias("top")).select("top.*").collect()
-        )
-        h, n = np.array([r["token"] for r in hot], np.int64).view(np.uint64), np.array([r["n"] for r in hot], np.int64)
+        got = cut(self.docs.mapInArrow(partial(scan, bits=bits), "kind long, a long, b long, c long, d long, s binary"))
+        own = got.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.when(F.col("b") > 0, F.col("c")).alias("c"), "d", "s")
+        # first halves of signatures that several sets share: of n sets about n * n / 2 ** 65
+        self.clash = frozenset(r["c"] for r in own.where("n > 0").groupBy("c").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("c").collect())
+        both = F.col("d").bitwiseXOR(F.shiftleft("c", 1))
+        own = own.withColumn("node", F.when(F.col("c").isin(*self.clash), both).otherwise(F.col("c")) if self.clash else F.col("c"))
+        self.summaries = own.where("s is not null").select("node", "s")
+        self.rows = own.select("doc_id", "n", "node")
+        nodes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *[f(x).alias(f"{x}{k}") for x in ("c", "d") for k, f in enumerate((F.min, F.max))])
+        self.nodes = cut(nodes)
+        if self.clash and self.nodes.where("c0 <> c1 or d0 <> d1").limit(1).count():
+            raise ArithmeticError("two different shingle sets have one 128-bit signature")
+        # the most frequent shingle of each hash bucket, and all that make up one in FREQUENT of the entries: a bounded table
+        total = got.where("kind = 1").agg(F.sum("b")).first()[0] or 0
+        known = got.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("b").alias("n"))
+        top = known.groupBy(F.pmod("token", F.lit(FREQUENT)).alias("bucket")).agg(F.max(F.struct("n", "token")).alias("top")).select("top.token", "top.n")
+        hot = top.union(known.where(F.col("n") >= max(LOCAL_LEAST, total // FREQUENT)).orderBy(F.desc("n"), "token").limit(FREQUENT)).distinct().toArrow()
+        h, n = hot.column("token").to_numpy().view(np.uint64), hot.column("n").to_numpy()
         order = np.argsort(h)
         self.hot, n = h[order], n[order]
+        self.spread = -(-n // SPREAD)
         self.rank = np.empty(len(h), np.int64)
         self.rank[np.lexsort((self.hot, n))] = np.arange(len(h))
 
+    def keyed(self) -> Callable[[np.ndarray], int]:
+        """Names the row that a set is, in tasks."""
+        bits, clash = self.bits, self.clash
+        return lambda s: row_key(*signature(s, bits), clash)
+
     def entries(self) -> DataFrame:
-        """The entries of columns that several rows share."""
-        every = self.docs.select("text").mapInArrow(partial(columns, hot=self.hot, rank=self.rank, percent=self.percent), "token long, node long, n int, place int")
+        """The entries of columns that several rows share. Frequent ones are dealt to several tasks."""
+        every = self.docs.select("text").mapInArrow(
+            partial(columns, hot=self.hot, rank=self.rank, spread=self.spread, percent=self.percent, key=self.keyed()), "token long, salt int, node long, n int, place int"
+        )
         parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = every.repartition(parts, "token").sortWithinPartitions("token", "node")
+        dealt = every.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "node")
         return cut(dealt.mapInArrow(shared, "token long, node long, n int, place int"))
 
     def possible(self, pairs: DataFrame) -> DataFrame:
@@ -340,6 +376,10 @@ class Join:
     def sized(self, n: str, m: str) -> Column:
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
 
+    def room(self, n: Column, place: Column, m: Column) -> Column:
+        """Whether a row of n whose first column in common with one of m is at ``place`` can overlap it enough."""
+        return (n.cast("long") - place) * (100 + self.percent) >= self.percent * (n.cast("long") + m)
+
     def leaders(self, entries: DataFrame, step: int) -> DataFrame:
         """Pairs of a column's leader, among entries of about one size, and each other one.
 
@@ -358,23 +398,57 @@ class Join:
         few = entries.where(F.col("rows") <= CROWD)
         a = few.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("comp").alias("ca"))
         b = few.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("comp").alias("cb"))
-        pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.sized("na", "nb"))
-        # a crowded column's rows, with the first crowded columns of each row and its summary, once per block pair
+        pairs = a.join(b, "token").where(
+            (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.sized("na", "nb")
+            & self.room(F.col("na"), F.col("pa"), F.col("nb")) & self.room(F.col("nb"), F.col("pb"), F.col("na"))
+        )
         many = entries.where(F.col("rows") > CROWD)
+        # of a crowded column's rows, the first crowded columns and the summary
         first = many.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "token"))), 1, FIRST).alias("first"))  # at most the columns of one row
         first = first.join(self.summaries.dropDuplicates(["node"]), "node")
-        blocks = F.ceil(F.col("rows") / BLOCK)
-        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        other = F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))
-        dealt = (
-            many.withColumn("own", own).withColumn("other", other).join(first, "node")
-            .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "place", "comp", "first", "s")
-        )
+        dealt = self.blocks(many).join(first, "node")
         parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = dealt.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+        by = ["token", "lo", "hi", "i", "j"]
+        dealt = dealt.repartition(parts, *by).sortWithinPartitions(*by)
         crowded = dealt.mapInArrow(partial(crowd, percent=self.percent), "a long, b long, na int, nb int")
         return self.possible(pairs).unionByName(crowded).distinct()
 
+    def blocks(self, many: DataFrame) -> DataFrame:
+        """Crowded columns' entries, once per pair (i, j) of blocks of rows, by the pair's size classes (lo, hi).
+
+        A component with BLOCK rows or more has blocks of its own, which don't meet each other."""
+        step = (100 / self.percent) ** (1 / CLASSES)
+        cls = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step))).cast("int")
+        other = F.explode(F.sequence(F.col("cls") - CLASSES - 1, F.col("cls") + CLASSES + 1))
+        least = F.floor(F.pow(F.lit(step), F.col("c2").cast("double")) * (1 - 1e-9))  # no row of the class is smaller
+        kept = (
+            many.select("token", "node", "n", "place", "comp").withColumn("cls", cls).withColumn("c2", other)
+            .where(self.room(F.col("n"), F.col("place"), least))
+            .select("token", F.least("cls", "c2").alias("lo"), F.greatest("cls", "c2").alias("hi"), (F.col("cls") > F.col("c2")).cast("int").alias("side"), "node", "n", "place", "comp")
+        )
+        key, size = ["token", "lo", "hi"], F.ceil(F.col("c") / BLOCK).cast("int")
+        of_comp = kept.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("c"), F.min("side").alias("s0"), F.max("side").alias("s1"))
+        # at most one block per BLOCK rows, and one for the rest
+        plan = of_comp.groupBy(*key).agg(
+            F.sum(F.when(F.col("c") < BLOCK, F.col("c")).otherwise(0)).alias("rest"), F.sort_array(F.collect_list(F.when(F.col("c") >= BLOCK, F.struct(F.col("comp").alias("own"), size.alias("size"))))).alias("big"),
+            F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("s0").alias("s0"), F.max("s1").alias("s1"),
+        ).where("c0 <> c1 and (lo = hi or s0 <> s1)")
+
+        def numbered(own: Column, size: Column) -> Column:
+            return F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.struct(own.alias("own"), k.alias("k")))).otherwise(F.array().cast("array<struct<own: bigint, k: int>>"))
+
+        rest = F.ceil(F.col("rest") / BLOCK).cast("int")
+        plan = plan.select(*key, rest.alias("rest"), "big", F.concat(numbered(F.lit(None).cast("long"), rest), F.flatten(F.transform("big", lambda x: numbered(x["own"], x["size"])))).alias("all"))
+        met = kept.join(plan, key).withColumn("mine", F.get(F.filter("big", lambda x: x["own"] == F.col("comp")), F.lit(0)))
+        own = F.struct(F.col("mine.own").alias("own"), F.pmod(F.xxhash64("node"), F.coalesce("mine.size", "rest")).cast("int").alias("k"))
+        met = met.withColumn("own", own).withColumn("other", F.explode(F.filter("all", lambda x: x["own"].isNull() | F.col("mine").isNull() | (x["own"] != F.col("comp")))))
+
+        def name(x: Column) -> Column:
+            return F.concat_ws(":", F.coalesce(x["own"].cast("string"), F.lit("")), x["k"].cast("string"))
+
+        met = met.withColumn("own", name(F.col("own"))).withColumn("other", name(F.col("other")))
+        return met.select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "side", "node", "n", "place", "comp")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """(u, v) of the pairs (a, b) that are similar enough by an exact count over their whole texts."""
         pairs = cut(pairs)
@@ -383,13 +457,13 @@ class Join:
         pairs = cut(pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(partial(bounded, percent=self.percent), "a long, b long"))
         want = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes, "node").select("node", F.coalesce("rep", F.lit(NULL)).alias("rep"))
         want = cut(want)
-        named = IdFilter(want, "rep")
+        named, key = IdFilter(want, "rep"), self.keyed()
 
         def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # any document with a node's set will do
             seen: set[int] = set()
             for batch in batches:
                 text = batch.column(1).filter(pa.array(named(batch.column(0))))
-                nodes = [signature(s)[0] if len(s) else None for s in sets(text)]
+                nodes = [key(s) if len(s) else None for s in sets(text)]
                 first = []
                 for x in nodes:
                     first.append(x is not None and x not in seen)
@@ -420,7 +494,7 @@ class Join:
         return roots
 
 
-def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def jaccard_join(docs: DataFrame, percent: int = PERCENT, bits: int = 64) -> DataFrame:
     """One row per document with its class: documents that links join, directly or over others.
 
     docs: doc_id, text; further columns are ignored. Words are runs without ASCII white space, A-Z lower-cased; a
@@ -429,7 +503,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least doc_id of the class. Null, empty and blank texts have no shingles and are linked with nothing. Rows with a
     null doc_id are kept; their class has its least non-null doc_id. Repeated rows are rows of one class (without
     shingles: of their own doc_id). An empty table gives no rows."""
-    join = Join(docs, percent)
+    join = Join(docs, percent, bits)
     roots = join.components()
     owned = join.nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = owned.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -437,6 +511,13 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return join.rows.join(label, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def fresh(name: str, names: list[str]) -> str:
+    """``name``, with underscores until no column has it."""
+    while name.lower() in {x.lower() for x in names}:
+        name += "_"
+    return name
+
+
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each class that ``jaccard_join`` finds: one with the class's least doc_id (a null one comes last).
 
@@ -447,9 +528,10 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = join.rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("rows")).join(join.nodes.select("node", "rep"), "node")
     owned = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keep = owned.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("keep"), F.sum("rows").alias("all")).where("all > 1")
-    member = cut(owned.join(keep, "root").select("node", (F.col("keep.node") == F.col("node")).alias("_keeps"), F.col("rep").alias("_rep")))
-    named = IdFilter(join.rows.join(member, "node", "left_semi").select("doc_id").distinct(), "doc_id")
-    names, mark = docs.columns, "_shingle_set"
+    names, key = docs.columns, join.keyed()
+    mark, keeps, rep = (fresh(x, names) for x in ("shingle_set", "keeps", "rep"))
+    member = cut(owned.join(keep, "root").select(F.col("node").alias(mark), (F.col("keep.node") == F.col("node")).alias(keeps), F.col("rep").alias(rep)))
+    named = IdFilter(join.rows.join(member, F.col("node") == F.col(mark), "left_semi").select("doc_id").distinct(), "doc_id")
     at, body = names.index("doc_id"), names.index("text")
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,12 +542,12 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         for batch in batches:
             some = batch.filter(pa.array(named(batch.column(at))))
             text = some.column(body).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*some.columns, pa.array([signature(s)[0] if len(s) else None for s in sets(text)], pa.int64())], names=[*names, mark])
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array([key(s) if len(s) else None for s in sets(text)], pa.int64())], names=[*names, mark])
 
     marked = docs.mapInArrow(others, StructType([*docs.schema.fields, StructField(mark, LongType())]))
-    met = marked.join(member.withColumnRenamed("node", mark), mark, "left")
-    stay = met.where("_keeps is null").select(*names)
-    one = met.where(F.col("_keeps") & F.col("doc_id").cast("long").eqNullSafe(F.col("_rep"))).dropDuplicates(["doc_id", mark]).select(*names)
+    met, own = marked.join(member, mark, "left"), [F.col(f"`{c}`") for c in names]
+    stay = met.where(F.col(keeps).isNull()).select(*own)
+    one = met.where(F.col(keeps) & F.col("doc_id").cast("long").eqNullSafe(F.col(rep))).dropDuplicates(["doc_id", mark]).select(*own)
     return docs.mapInArrow(alone, docs.schema).unionByName(stay).unionByName(one)
 
 

@@ -108,3 +108,56 @@ def test_filter_that_lets_copies_through(spark, monkeypatch):
     a, b = prose(1, 60), prose(1, 60) + " more words"
     rows = [(9, a), (8, b), (7, a), (6, b), (5, a), (4, b), (3, prose(2, 60))]
     check(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+
+
+def test_sets_with_one_half_signature(spark, docs):
+    """With four bits of the first half nearly all sets clash and are named by their whole signatures."""
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_join(docs, bits=4).collect())
+    assert got == sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_join(docs).collect())
+    assert len(jaccard.Join(docs, bits=4).clash) == 16 and not jaccard.Join(docs).clash
+
+
+def test_a_hot_column_is_linear(spark, docs):
+    """20,000 rows of a column: those of one great component meet the others only, not each other."""
+    join = jaccard.Join(docs.limit(5))
+    rows = spark.range(20_000).selectExpr("7L as token", "id as node", "cast(200 + id % 40 as int) as n", "cast(id % 20 as int) as place", "case when id % 200 = 0 then id else -1 end as comp")
+    dealt = join.blocks(rows)
+    assert dealt.count() < 12 * 20_000  # about seven size classes, one or two blocks each
+    assert dealt.groupBy("token", "lo", "hi", "i", "j").count().agg({"count": "max"}).first()[0] <= 3 * jaccard.BLOCK
+    assert join.blocks(rows.withColumn("comp", rows.comp * 0)).count() == 0
+
+
+def test_blocks_lose_no_pair(spark, docs, monkeypatch):
+    """Of rows in different components that leave room for enough overlap, all pairs meet, whatever the blocks."""
+    import random
+
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    join, r = jaccard.Join(docs.limit(5)), random.Random(2)
+    rows = [(1, i, n, r.randrange(0, n - jaccard.required(n, 80) + 1), r.choice([-1, -2, i])) for i, n in enumerate(r.randrange(20, 60) for _ in range(70))]
+    rows = [(*x[:4], x[4] if x[4] < 0 else 1000 + x[1]) for x in rows]
+    want = {
+        (a[1], b[1]) for a in rows for b in rows
+        if a[1] < b[1] and a[4] != b[4] and min(a[2] - a[3], b[2] - b[3]) * 180 >= 80 * (a[2] + b[2])
+    }
+    met = {}
+    for x in join.blocks(spark.createDataFrame(rows, "token long, node long, n int, place int, comp long")).collect():
+        met.setdefault((x.lo, x.hi, x.i, x.j), []).append(x)
+    got = Counter(
+        (min(x.node, y.node), max(x.node, y.node)) for (lo, hi, i, j), xs in met.items() for k, x in enumerate(xs) for y in xs[:k]
+        if x.comp != y.comp and (i == j or (x.own == i) != (y.own == i)) and (lo == hi or x.side != y.side)
+    )
+    assert want <= set(got) and all(got[p] == 1 for p in want)
+
+
+def test_frequent_shingles_are_dealt_out(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "SPREAD", 2)
+    monkeypatch.setattr(jaccard, "LOCAL_LEAST", 1)
+    passage = prose(10, 40)
+    check(spark.createDataFrame([(i, " ".join(passage.split()[:36]) + f" w{i} x{i}") for i in range(30)] + [(99, passage)], "doc_id long, text string"))
+
+
+def test_one_of_each_with_clashing_columns(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = spark.createDataFrame([(3, a, 1, 1, 1, 1), (1, a, 2, 2, 2, 2), (2, b, 3, 3, 3, 3), (2, b, 3, 3, 3, 3), (None, b, 4, 4, 4, 4)], "doc_id long, text string, keeps int, rep int, shingle_set int, node int")
+    keep = jaccard.one_of_each(rows)
+    assert keep.columns == rows.columns and sorted(r.doc_id for r in keep.collect()) == [1, 2]
