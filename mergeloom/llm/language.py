@@ -3,7 +3,9 @@
 Each word's emission score per language sums the weights of its identity (the lexicon), its first and last bytes (affixes)
 and its byte trigrams; a matrix of learned transitions ties neighbours together. Forward-backward gives every
 word's distribution, so code-switched text is labelled word by word; a document's language is the one with the
-largest share. Chains are runs of up to ``CHAIN`` words of a text; all chains of a chunk advance together.
+largest share. A text's words are one chain, however long. All chains of a chunk advance together, in blocks of
+``BLOCK`` words: each block's steps are first multiplied into one matrix, the products of these give what
+comes before and after each block, and from there its words follow.
 
 Labels for training are those of whole documents. As these hardly ever switch, part of the
 training chains is joined from halves of two documents, from which the transitions learn what switching costs."""
@@ -22,10 +24,14 @@ from mergeloom.functions.session import small_batches, table
 from mergeloom.llm import _text
 from mergeloom.llm._sample import crc_mod, fitting_sample
 
-#: Labelled documents that the model is fitted on, at most (about), and training chains taken from each.
+#: Labelled documents that the model is fitted on, at most, passages taken from each, and words of a passage.
 FIT_ROWS = 1_500
 FIT_CHAINS = 6
 CHAIN = 32
+#: Words that advance together, one after the other.
+BLOCK = 32
+#: Parts of the training passages, of which each round takes one.
+PARTS = 4
 AFFIX = (2, 3, 4)
 TRIGRAM_BITS = 14
 ROUNDS = 40
@@ -43,31 +49,35 @@ class Model:
     start: np.ndarray
 
 
-def trigram_slots(raw: np.ndarray) -> np.ndarray:
-    """The slot of the three bytes that begin at each byte, lower-cased, with other bytes than letters as one."""
+def trigram_slots(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The slot of the three bytes that begin at each byte, lower-cased, with other bytes than letters, and what follows a row, as one."""
     b = np.where(_text.NOT_LETTER, 0, _text.FOLD.astype(np.uint32) + 1).astype(np.uint32)[raw]
-    b = np.concatenate([b, np.zeros(2, np.uint32)])
-    h = b[:-2] * np.uint32(2654435761) + b[1:-1] * np.uint32(2246822519) + b[2:] * np.uint32(3266489917)
+    last = at[1:] - 1
+    one, two = np.zeros(len(b), np.uint32), np.zeros(len(b), np.uint32)
+    one[:-1], two[:-2] = b[1:], b[2:]
+    one[last[last >= 0]] = two[last[last >= 0]] = two[last[last >= 1] - 1] = 0
+    h = b * np.uint32(2654435761) + one * np.uint32(2246822519) + two * np.uint32(3266489917)
     h ^= h >> np.uint32(15)
     return ((h * np.uint32(668265263)) >> np.uint32(32 - TRIGRAM_BITS)).astype(np.int64)
 
 
-def chains(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words and lengths of the chains of rows whose first words are ``row``."""
+def chains(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words and lengths of the blocks of rows whose first words are ``row``, and each block's number in its row."""
     n = np.diff(row)
-    per = -(-n // CHAIN)
-    first = np.repeat(row[:-1], per) + (np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)) * CHAIN
-    return first, np.minimum(CHAIN, np.repeat(row[1:], per) - first)
+    per = -(-n // BLOCK)
+    number = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+    first = np.repeat(row[:-1], per) + number * BLOCK
+    return first, np.minimum(BLOCK, np.repeat(row[1:], per) - first), number
 
 
-def emissions(raw: np.ndarray, start: np.ndarray, end: np.ndarray, model: Model, known: _text.Weights) -> np.ndarray:
+def emissions(raw: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray, model: Model, known: _text.Weights) -> np.ndarray:
     """Scores of each word by label."""
     out = np.zeros((len(start), len(model.labels)), np.float32)
     if not len(start):
         return out
     for h in _text.affixes(raw, start, end, AFFIX, AFFIX):
         out += known(h)
-    slots = trigram_slots(raw)
+    slots = trigram_slots(raw, at)
     size = end - start
     k = 0
     while k < len(start):  # blocks of about a chunk of bytes
@@ -80,36 +90,114 @@ def emissions(raw: np.ndarray, start: np.ndarray, end: np.ndarray, model: Model,
     return out
 
 
-def forward_backward(e: np.ndarray, first: np.ndarray, size: np.ndarray, model: Model, transitions: bool = False) -> tuple[np.ndarray, np.ndarray | None, float]:
-    """(marginals of each word, expected transitions if asked for, log-partition), in probabilities scaled per step."""
+def _times(a: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The vectors (..., i) times the matrix (i, j), or matrices (..., i, j) each. Sums are in one order, whatever the number of rows."""
+    out = a[..., 0, None] * m[..., 0, :]
+    for i in range(1, m.shape[-2]):
+        out += a[..., i, None] * m[..., i, :]
+    return out
+
+
+def _norm(a: np.ndarray) -> np.ndarray:
+    return a / np.maximum(a.sum(axis=-1, keepdims=True), 1e-300)
+
+
+def forward_backward(e: np.ndarray, row: np.ndarray, model: Model, transitions: bool = False) -> tuple[np.ndarray, np.ndarray | None, float]:
+    """(marginals of each word, expected transitions if asked for, log-partition) of the chains that the rows (first words ``row``) are.
+
+    A row's numbers depend on the row alone, to the last bit."""
     k = e.shape[1]
-    order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
+    if not len(e):
+        return np.zeros((0, k)), np.zeros((k, k)) if transitions else None, 0.0
+    first, size, number = chains(row)
     top = e.max(axis=1, keepdims=True)
-    pot = np.exp(e - top).astype(np.float64)
+    pot = np.exp((e - top).astype(np.float64))
     trans, begin = np.exp(model.transitions), np.exp(model.start)
+    order = np.argsort(-size, kind="stable")
+    sizes, firsts = size[order], first[order]
+    active = [int(np.searchsorted(-sizes, -t, "left")) for t in range(int(sizes[0]))]  # blocks longer than t
+    before, after = np.repeat(begin[None, :], len(first), 0), np.ones((len(first), k))
+    deep = int(number.max())
+    if deep:  # each block's matrix, then what its neighbours hand on
+        m = np.repeat(np.eye(k)[None], len(first), 0)
+        lead = number[order] == 0
+        for t, n in enumerate(active):
+            step = m[:n] if t == 0 else _times(m[:n], trans[None, None])
+            if t == 0:
+                step = np.where(lead[:n, None, None], step, trans[None])
+            step = step * pot[firsts[:n] + t][:, None, :]
+            m[:n] = step / np.maximum(step.sum(axis=(1, 2), keepdims=True), 1e-300)
+        whole = np.empty_like(m)
+        whole[order] = m
+        by = np.argsort(number, kind="stable")
+        cut = np.searchsorted(number[by], np.arange(deep + 2))
+        for d in range(1, deep + 1):
+            at = by[cut[d] : cut[d + 1]]
+            before[at] = _norm(_times(before[at - 1], whole[at - 1]))
+        for d in range(deep, 0, -1):
+            at = by[cut[d] : cut[d + 1]]
+            after[at - 1] = _norm((whole[at] * after[at][:, None, :]).sum(axis=2))
     alpha, scale = np.zeros((len(e), k)), np.ones(len(e))
-    active = np.array([int(np.searchsorted(-size, -t, "left")) for t in range(int(size.max()) if len(size) else 0)])  # chains longer than t
+    lead, into = (number == 0)[order], before[order]
     for t, n in enumerate(active):
-        at = first[:n] + t
-        a = (begin[None, :] if t == 0 else alpha[at - 1] @ trans) * pot[at]
+        at = firsts[:n] + t
+        a = np.where(lead[:n, None], into[:n], _times(into[:n], trans[None])) if t == 0 else _times(alpha[at - 1], trans[None])
+        a = a * pot[at]
         s = a.sum(axis=1)
         scale[at] = s
         alpha[at] = a / s[:, None]
-    gamma, pairs = alpha.copy(), np.zeros((k, k)) if transitions else None
     beta = np.ones((len(e), k))
+    beta[first + size - 1] = after
+    back = trans.T
     for t in range(len(active) - 2, -1, -1):
-        n = active[t + 1]
-        at = first[:n] + t
-        ahead = beta[at + 1] * pot[at + 1] / scale[at + 1][:, None]
-        beta[at] = ahead @ trans.T
-        if transitions:
-            pairs += trans * (alpha[at].T @ ahead)
-    gamma *= beta
-    gamma /= np.maximum(gamma.sum(axis=1, keepdims=True), 1e-300)
-    used = np.zeros(len(e), bool)
-    used[np.repeat(first, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)] = True
-    return gamma, pairs, float(np.log(scale[used]).sum() + top[used].sum())
+        at = firsts[: active[t + 1]] + t
+        beta[at] = _times(beta[at + 1] * pot[at + 1] / scale[at + 1][:, None], back[None])
+    gamma = _norm(alpha * beta)
+    if not transitions:
+        return gamma, None, float(np.log(scale).sum() + top.sum())
+    inner = np.ones(len(e), bool)
+    inner[row[:-1][np.diff(row) > 0]] = False
+    at = np.flatnonzero(inner)
+    joint = alpha[at - 1][:, :, None] * trans[None] * (pot[at] * beta[at])[:, None, :]
+    return gamma, (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0), float(np.log(scale).sum() + top.sum())
+
+
+class _words_of:
+    """Training passages as words with their features: flat pairs of a word and a feature, by word and by feature."""
+
+    def __init__(self, passages: list[list[str]], gold: np.ndarray) -> None:
+        column = pa.array([" ".join(w) for w in passages], pa.large_string())
+        rows, kinds, slots, sizes, words = [np.zeros(1, np.int64)], [], [], [], 0
+        for _, _, raw, at in _text.chunks(column, 1 << 24):
+            start, end, row = _text.words(raw, at, _text.NOT_LETTER)
+            kinds.append(_text.affixes(raw, start, end, AFFIX, AFFIX))
+            size = end - start
+            where = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+            slots.append(trigram_slots(raw, at)[where])
+            sizes.append(size)
+            rows.append(row[1:] + words)
+            words += len(start)
+        self.gold, self.row = gold, np.concatenate(rows)
+        self.kinds = [np.concatenate([h[i] for h in kinds]) for i in range(len(kinds[0]))]
+        self.slots, self.sizes = np.concatenate(slots), np.concatenate(sizes)
+
+    def index(self, known: _text.Weights, named: int) -> None:
+        """Affix features first, then trigram slots."""
+        word, feature = [], []
+        for h in self.kinds:
+            f = known.rows(h)
+            word.append(np.flatnonzero(f))
+            feature.append(f[f > 0] - 1)
+        w = np.concatenate([*word, np.repeat(np.arange(len(self.gold)), self.sizes)])
+        f = np.concatenate([*feature, named + self.slots])
+        order = np.argsort(w, kind="stable")
+        self.word, self.feature = w[order], f[order]
+        self.word_cut = np.flatnonzero(np.concatenate([[True], self.word[1:] != self.word[:-1]]))
+        by = np.argsort(self.feature, kind="stable")
+        f = self.feature[by]
+        self.feature_cut = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+        self.feature_ids, self.word_of_feature = f[self.feature_cut], self.word[by]
+        del self.kinds, self.slots
 
 
 def fit(texts: list[str], languages: list[str], seed: int = 1) -> Model | None:
@@ -134,64 +222,39 @@ def fit(texts: list[str], languages: list[str], seed: int = 1) -> Model | None:
             half = int(rng.integers(1, max(2, len(words))))
             tail = other[: CHAIN - half]
             sequences.append(words[:half] + tail)
-            golds += [label] * len(words[:half]) + [second] * len(tail)
+            golds.append([label] * len(words[:half]) + [second] * len(tail))
         else:
             sequences.append(words)
-            golds += [label] * len(words)
-    column = pa.array([" ".join(w) for w in sequences], pa.large_string())
-    k, gold = len(labels), np.array(golds)
-    raws, starts, ends, rows, hashes, base, nwords = [], [], [], [np.zeros(1, np.int64)], [], 0, 0
-    for _, _, raw, at in _text.chunks(column, 1 << 24):
-        start, end, row = _text.words(raw, at, _text.NOT_LETTER)
-        hashes.append(_text.affixes(raw, start, end, AFFIX, AFFIX))
-        raws.append(raw)
-        starts.append(start + base)
-        ends.append(end + base)
-        rows.append(row[1:] + nwords)
-        base += len(raw)
-        nwords += len(start)
-    raw, start, end, row = np.concatenate(raws), np.concatenate(starts), np.concatenate(ends), np.concatenate(rows)
-    kinds = [np.concatenate([h[i] for h in hashes]) for i in range(len(hashes[0]))]
-    every, n = np.unique(np.concatenate(kinds), return_counts=True)
+            golds.append([label] * len(words))
+    k = len(labels)
+    parts = []
+    for part in range(PARTS):
+        texts_ = sequences[part::PARTS]
+        if texts_:
+            parts.append(_words_of(texts_, np.concatenate([golds[i] for i in range(part, len(golds), PARTS)])))
+    every, n = np.unique(np.concatenate([h for p in parts for h in p.kinds]), return_counts=True)
     every = every[(n >= 3) & (every != 0)]
     model = Model(labels, every, np.zeros((len(every), k), np.float32), np.zeros((1 << TRIGRAM_BITS, k), np.float32), np.zeros((k, k)), np.zeros(k))
-    # incidence of words and features, as flat pairs: affix features, then trigram slots
     rows_of = _text.Weights(every, np.arange(len(every)), bits=20)
-    word, feature = [], []
-    for h in kinds:
-        f = rows_of.rows(h)
-        word.append(np.flatnonzero(f))
-        feature.append(f[f > 0] - 1)
-    size = end - start
-    begin = np.cumsum(size) - size
-    where = np.arange(int(size.sum())) - np.repeat(begin, size) + np.repeat(start, size)
-    word.append(np.repeat(np.arange(len(start)), size))
-    feature.append(len(every) + trigram_slots(raw)[where])
-    w, f = np.concatenate(word), np.concatenate(feature)
-    order = np.argsort(w, kind="stable")
-    w, f = w[order], f[order]
-    cut = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-    by_feature = np.argsort(f, kind="stable")
-    f_sorted = f[by_feature]
-    f_cut = np.flatnonzero(np.concatenate([[True], f_sorted[1:] != f_sorted[:-1]]))
-    f_ids, w_of_f = f_sorted[f_cut], w[by_feature]
+    for p in parts:
+        p.index(rows_of, len(every))
     theta = np.zeros((len(every) + (1 << TRIGRAM_BITS), k), np.float32)
-    first, length = chains(row)
-    target = np.eye(k)[gold]
-    gold_pairs = np.zeros((k, k))
-    inner = np.ones(len(gold), bool)
-    inner[first] = False
-    np.add.at(gold_pairs, (gold[np.flatnonzero(inner) - 1], gold[inner]), 1)
-    gold_start = np.bincount(gold[first], minlength=k).astype(float)
     state = [[np.zeros_like(x, dtype=np.float64) for x in (theta, model.transitions, model.start)] for _ in range(2)]
     for step in range(1, ROUNDS + 1):
-        e = np.zeros((len(start), k), np.float32)
-        e[w[cut]] = np.add.reduceat(theta[f], cut, axis=0)
-        gamma, pairs, _ = forward_backward(e, first, length, model, transitions=True)
+        p = parts[step % len(parts)]
+        target = np.eye(k)[p.gold]
+        first = p.row[:-1][np.diff(p.row) > 0]
+        inner = np.ones(len(p.gold), bool)
+        inner[first] = False
+        gold_pairs = np.zeros((k, k))
+        np.add.at(gold_pairs, (p.gold[np.flatnonzero(inner) - 1], p.gold[inner]), 1)
+        e = np.zeros((len(p.gold), k), np.float32)
+        e[p.word[p.word_cut]] = np.add.reduceat(theta[p.feature], p.word_cut, axis=0)
+        gamma, pairs, _ = forward_backward(e, p.row, model, transitions=True)
         miss = (gamma - target).astype(np.float32)
         grad = np.zeros(theta.shape)
-        grad[f_ids] = np.add.reduceat(miss[w_of_f], f_cut, axis=0)
-        grads = [grad / len(start) + 1e-7 * theta, (pairs - gold_pairs) / len(start) + 1e-6 * model.transitions, (gamma[first].sum(0) - gold_start) / len(first) + 1e-4 * model.start]
+        grad[p.feature_ids] = np.add.reduceat(miss[p.word_of_feature], p.feature_cut, axis=0)
+        grads = [grad / len(p.gold) + 1e-7 * theta, (pairs - gold_pairs) / len(p.gold) + 1e-6 * model.transitions, (gamma[first].sum(0) - target[first].sum(0)) / len(first) + 1e-4 * model.start]
         for i, g in enumerate(grads):
             state[0][i] = 0.9 * state[0][i] + 0.1 * g
             state[1][i] = 0.99 * state[1][i] + 0.01 * g**2
@@ -215,7 +278,7 @@ def word_languages(text: str, model: Model) -> list[tuple[str, str, float]]:
     for _, _, raw, at in _text.chunks(pa.array([text], pa.large_string())):
         start, end, row = _text.words(raw, at, _text.NOT_LETTER)
         if len(start):
-            gamma, _, _ = forward_backward(emissions(raw, start, end, model, known), *chains(row), model)
+            gamma, _, _ = forward_backward(emissions(raw, at, start, end, model, known), row, model)
             out += [(bytes(raw[s:e]).decode(), model.labels[int(g.argmax())], float(g.max())) for s, e, g in zip(start, end, gamma, strict=True)]
     return out
 
@@ -227,9 +290,9 @@ def shares(column: pa.Array, model: Model, known: _text.Weights) -> np.ndarray:
         start, end, row = _text.words(raw, at, _text.NOT_LETTER)
         sums = np.zeros((len(row) - 1, len(model.labels)))
         if len(start):
-            gamma, _, _ = forward_backward(emissions(raw, start, end, model, known), *chains(row), model)
-            total = np.concatenate([np.zeros((1, gamma.shape[1])), np.cumsum(gamma, axis=0)])
-            sums = (total[row[1:]] - total[row[:-1]]) / np.maximum(np.diff(row), 1)[:, None]
+            gamma, _, _ = forward_backward(emissions(raw, at, start, end, model, known), row, model)
+            full = np.flatnonzero(np.diff(row))
+            sums[full] = np.add.reduceat(gamma, row[full], axis=0) / np.diff(row)[full, None]
         out.append(sums)
     return np.concatenate(out) if out else np.zeros((0, len(model.labels)))
 

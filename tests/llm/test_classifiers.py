@@ -52,14 +52,17 @@ def test_language_of_tables(spark, docs, odd, empty):
     assert language.language(empty).count() == 0
 
 
-def test_forward_backward_is_brute_force():
+@pytest.mark.parametrize("block", [1, 2, 3, 32])
+def test_forward_backward_is_brute_force(monkeypatch, block):
+    """A chain is the whole text, whatever the blocks that it's handled in."""
     from itertools import product
 
     r = np.random.default_rng(3)
-    k, n = 3, 4
+    k, n = 3, 7
+    monkeypatch.setattr(language, "BLOCK", block)
     m = language.Model(list("abc"), np.zeros(0, np.uint64), np.zeros((0, k)), np.zeros((1, k)), r.normal(size=(k, k)), r.normal(size=k))
     e = r.normal(size=(n + 2, k))
-    gamma, pairs, z = language.forward_backward(e, np.array([0, n]), np.array([n, 2]), m, transitions=True)
+    gamma, pairs, z = language.forward_backward(e, np.array([0, 0, n, n + 2]), m, transitions=True)
     total, want, steps = [], np.zeros_like(e), np.zeros((k, k))
     for first, size in ((0, n), (n, 2)):
         paths = list(product(range(k), repeat=size))
@@ -73,6 +76,28 @@ def test_forward_backward_is_brute_force():
     assert np.allclose(gamma, want) and np.allclose(pairs, steps) and np.isclose(z, np.log(total).sum())
 
 
+def test_equal_texts_have_equal_scores(docs):
+    """Wherever they are in a batch, and whatever follows them."""
+    rows = docs.collect()
+    model = language.fit([r.text for r in rows[:80]], [r.lang for r in rows[:80]])
+    known = language._text.Weights(model.hashes, model.weights, bits=20)
+    long = " ".join(r.text for r in rows[:60])
+    for x in (rows[3].text, rows[9].text[:7], long):
+        column = pa.array([x, *[r.text for r in rows[:70]], x, "Zz", x, long, x])
+        got = language.shares(column, model, known)
+        assert (got[[71, 73, 75]] == got[0]).all()
+
+
+def test_chains_are_whole_texts(docs):
+    """A word's marginal depends on words far from it in its text, across blocks."""
+    rows = docs.collect()
+    model = language.fit([r.text for r in rows], [r.lang for r in rows])
+    model.weights[:], model.trigrams[:] = 0, 0  # only the start and the transitions speak
+    model.transitions = np.eye(len(model.labels)) * 40.0
+    model.start = np.arange(len(model.labels)) * 30.0
+    assert all(label == model.labels[-1] and p > 0.99 for _, label, p in language.word_languages("x " * 500, model))
+
+
 def test_code_switching(docs):
     rows = docs.where("lang in ('en', 'de')").collect()
     model = language.fit([r.text for r in rows], [r.lang for r in rows])
