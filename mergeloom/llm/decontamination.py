@@ -2,32 +2,34 @@
 
 Texts and benchmark items become token sequences twice: plainly, and as templates, in which numbers, names and units
 are typed placeholders (runs of numbers or names are one). Windows of five tokens, and of as many as shorter items
-have, are looked up in a hash table of the items' windows. A document holds an item if enough of its plain windows occur, or if
-enough of its template windows do and the values in the slots are consistent: wherever the
-item has one value, the document has one value as well. So questions whose numbers and names were exchanged are found.
+have, are joined by hash. A document holds an item if enough of its plain windows occur, or if enough of its template
+windows do along one alignment and the values in the slots are consistent: the document exchanges the item's values
+one for one. So questions whose numbers and names were changed are found.
 
-The items are the query set: they're taken in blocks of bounded size, each a table that goes to the
-tasks; every block reads all documents, so nothing is left out when the benchmark is large."""
+Items whose templates and whose pattern of equal values are the same are one class, so a benchmark of thousands of
+questions of one form is as cheap as one of them. Windows of classes and of documents are rows. Documents leave out
+windows that no class has, by a bitmap of bounded size, and are left out themselves without one of a class's rarest windows:
+so few that a document lacking them all can't have enough. Those windows find the candidates, so a
+window that many classes share doesn't multiply them; all windows of the candidates are then counted."""
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from mergeloom.functions.session import small_batches, table
+from mergeloom.functions.session import cut, small_batches, table
 from mergeloom.llm import _text
+from mergeloom.llm._ids import IdFilter
 
 WINDOW = 5
 LEAST = 0.8
-#: Items in a block (about).
-BLOCK_ITEMS = 20_000
 #: Template windows with fewer plain words say nothing, unless an item has no others.
 PLAIN_WORDS = 3
 
@@ -120,196 +122,281 @@ def tokens(raw: np.ndarray, at: np.ndarray) -> Tokens:
     return Tokens(start, end, row, h, kept, np.searchsorted(kept, row), np.where(k > 0, _PLACEHOLDER[k], h[kept]), k)
 
 
-def _value(raw: np.ndarray, t: Tokens, i: int) -> bytes:
-    """The text of kept token ``i``, with the tokens merged into it, lower-cased."""
-    a = t.kept[i]
-    b = (t.kept[i + 1] if i + 1 < len(t.kept) else len(t.start)) - 1
-    r = int(np.searchsorted(t.row, a, "right")) - 1
-    b = min(b, t.row[r + 1] - 1)
-    return bytes(_text.LOWER[raw[t.start[a] : t.end[b]]])
-
-
-@dataclass
-class Items:
-    """A block of items as hash tables of their windows."""
-
-    ids: list[int]
-    sizes: list[tuple[int, int]]  # of plain windows, of telling template windows
-    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # plain, template: sorted hashes, item, window number
-    slots: list[list[list[tuple[int, bytes]]]]  # item -> window -> (place, value)
-    widths: tuple[list[int], list[int]]  # plain, template: tokens in an item's windows
-
-    def __post_init__(self) -> None:
-        self.present = []
-        for h, _, _ in self.tables:
-            bits = np.zeros(1 << 20, bool)
-            bits[(h >> np.uint64(44)).astype(np.int64)] = True
-            self.present.append(bits)
-
-    def hits(self, which: int, h: np.ndarray) -> np.ndarray:
-        """Places in ``h`` of windows that some item has."""
-        at = np.flatnonzero(self.present[which][(h >> np.uint64(44)).astype(np.int64)])
-        known = self.tables[which][0]
-        return at[_among(h[at], known)] if len(known) else at[:0]
-
-    def owners(self, which: int, h: np.uint64) -> Iterator[tuple[int, int]]:
-        known, item, number = self.tables[which]
-        for k in range(int(np.searchsorted(known, h, "left")), int(np.searchsorted(known, h, "right"))):
-            yield int(item[k]), int(number[k])
-
-    def lengths(self, which: int) -> list[int]:
-        """The widths of windows to look up. A hash tells its width, so a table holds all of them."""
-        return sorted({w for w in self.widths[which] if w})
-
-
-def prepare(ids: list[int], texts: list[str]) -> Items:
-    sizes, plain, template, slots, widths = [], [], [], [], ([], [])
-    for i, text in enumerate(texts):
-        for _, _, raw, at in _text.chunks(pa.array([text], pa.large_string())):
-            t = tokens(raw, at)
-            h, _ = _text.sequences(t.plain, t.row, WINDOW)
-            plain += [(int(x), i, j) for j, x in enumerate(h.tolist())]
-            g, _ = _text.sequences(t.template, t.kept_row, WINDOW)
-            width = min(WINDOW, len(t.kept))
-            words = [int((t.kind[j : j + width] == WORD).sum()) for j in range(len(g))]
-            telling = [w >= min(PLAIN_WORDS, max(words, default=0)) and w > 0 for w in words]
-            own = []
-            for j, x in enumerate(g.tolist()):
-                own.append([(p, _value(raw, t, j + p)) for p in range(width) if t.kind[j + p] != WORD])
-                if telling[j]:
-                    template.append((int(x), i, j))
-            sizes.append((len(set(h.tolist())), len({x for x, ok in zip(g.tolist(), telling, strict=True) if ok})))
-            slots.append(own)
-            widths[0].append(min(WINDOW, len(t.plain)))
-            widths[1].append(width)
-    tables = []
-    for rows in (plain, template):
-        rows.sort()
-        tables.append((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)))
-    return Items(ids, sizes, tables, slots, widths)
-
-
-def matches(column: pa.Array, items: Items, least: float) -> Iterator[tuple[int, int, float, float, float, str]]:
-    """(row, item, plain coverage, template coverage, slot consistency, kind) of each item that a row holds."""
-    for lo, _, raw, at in _text.chunks(column):
-        t = tokens(raw, at)
-        got: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for width in items.lengths(0):
-            h, first = _text.sequences(t.plain, t.row, width)
-            hit = items.hits(0, h)
-            rows = np.searchsorted(first, hit, "right") - 1
-            if width < WINDOW:  # a few common words: once a row is enough
-                _, once = np.unique(np.stack([rows.astype(np.uint64), h[hit]]), axis=1, return_index=True)
-                hit, rows = hit[once], rows[once]
-            for k, r in zip(hit.tolist(), rows.tolist(), strict=True):
-                for item, _ in items.owners(0, h[k]):
-                    if items.widths[0][item] == width:
-                        got[r, item].add(int(h[k]))
-        seen: dict[tuple[int, int], set[int]] = defaultdict(set)
-        lines: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        templates = {}
-        for width in items.lengths(1):
-            g, gfirst = templates[width] = _text.sequences(t.template, t.kept_row, width)
-            hit = items.hits(1, g)
-            rows = np.searchsorted(gfirst, hit, "right") - 1
-            for k, r in zip(hit.tolist(), rows.tolist(), strict=True):
-                for item, j in items.owners(1, g[k]):
-                    if items.widths[1][item] == width:
-                        seen[r, item].add(int(g[k]))
-                        own = int(t.kept_row[r]) + k - int(gfirst[r])  # the window's first kept token
-                        lines[r, item][own - j].append((own, j))
-        for r, item in sorted(got.keys() | seen.keys()):
-            n, m = items.sizes[item]
-            plain = len(got.get((r, item), ())) / n if n else 0.0
-            template, aligned = 0.0, []
-            if m and len(seen.get((r, item), ())) >= least * m or plain >= least and m:
-                aligned = _aligned(lines[r, item])
-                g, gfirst = templates[items.widths[1][item]]
-                template = len({int(g[k - int(t.kept_row[r]) + int(gfirst[r])]) for k, _ in aligned}) / m
-            if plain >= least:
-                yield lo + r, item, plain, template, 1.0, "exact"
-            elif template >= least:
-                # a short item is one window, which any of its occurrences may hold
-                ways = [aligned] if items.widths[1][item] == WINDOW else [[p] for x in lines[r, item].values() for p in x]
-                consistency = max(_consistency(raw, t, items.slots[item], way) for way in ways)
-                if consistency >= least:
-                    yield lo + r, item, plain, template, consistency, "reparameterised"
-
-
-def _aligned(lines: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int]]:
-    """(window in the document, window in the item) along the alignment with the most windows, give or take a window's length."""
-    if not lines:
-        return []
-    best = max(lines, key=lambda x: (len({j for _, j in lines[x]}), -x))
-    return [p for x in sorted(lines) if abs(x - best) <= WINDOW for p in lines[x]]
-
-
-def _consistency(raw: np.ndarray, t: Tokens, slots: list[list[tuple[int, bytes]]], aligned: list[tuple[int, int]]) -> float:
-    """The share of slots whose value follows the most common exchange of the item's value."""
-    places: dict[int, tuple[bytes, bytes]] = {}
-    for k, j in aligned:
-        for p, value in slots[j]:
-            places[j + p] = (value, _value(raw, t, k + p))
-    if not places:
-        return 1.0
-    exchanged: dict[bytes, Counter] = defaultdict(Counter)
-    for value, other in places.values():
-        exchanged[value][other] += 1
-    return sum(max(c.values()) for c in exchanged.values()) / len(places)
-
-
-COLUMNS = "doc_id long, item_id long, coverage double, template_coverage double, slot_consistency double, kind string"
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, block: int = BLOCK_ITEMS) -> DataFrame:
+def values(raw: np.ndarray, t: Tokens) -> np.ndarray:
+    """A hash of the text of each kept token, with the tokens merged into it."""
+    if not len(t.kept):
+        return np.zeros(0, np.uint64)
+    last = np.append(t.kept[1:], len(t.start)) - 1
+    of = np.searchsorted(t.row, t.kept, "right")  # a row's last kept token ends with the row
+    return _text.hash_spans(raw, t.start[t.kept], t.end[np.minimum(last, t.row[of] - 1)])
+
+
+def digest(x: bytes) -> tuple[int, int]:
+    """128 bits, as two longs."""
+    h = hashlib.blake2b(x, digest_size=16).digest()
+    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+
+
+def long(x: list | np.ndarray) -> pa.Array:
+    return pa.array(x, pa.int64()) if isinstance(x, list) else pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
+
+
+SLOTS = [f"v{i}" for i in range(WINDOW)]
+ITEM = "item_id long, which int, c1 long, c2 long, p1 long, p2 long, width int, h long, at long, " + ", ".join(f"{v} long" for v in SLOTS)
+HIT = "doc_id long, k1 long, k2 long, which int, h long, at long, " + ", ".join(f"{v} long" for v in SLOTS)
+PLAIN, TEMPLATE = 0, 1
+
+
+def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per window of an item: its class (c1, c2) and that of its plain tokens, the window's place, and which values are in its slots, numbered in order."""
+    names = [c.split()[0] for c in ITEM.split(", ")]
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        for lo, _, raw, at in _text.chunks(batch.column(1)):
+            t, out = tokens(raw, at), []
+            held = values(raw, t)
+            h, first = _text.sequences(t.plain, t.row, WINDOW)
+            g, gfirst = _text.sequences(t.template, t.kept_row, WINDOW)
+            for r in range(len(at) - 1):
+                a, b = t.kept_row[r], t.kept_row[r + 1]
+                p = digest(t.plain[t.row[r] : t.row[r + 1]].tobytes())
+                slot = t.kind[a:b] != WORD
+                _, where, same = np.unique(held[a:b][slot], return_index=True, return_inverse=True)
+                pattern = np.zeros(b - a, np.int64)
+                pattern[slot] = np.argsort(np.argsort(where))[same] + 1
+                c = digest(t.template[a:b].tobytes() + pattern.tobytes())
+                width = int(min(WINDOW, t.row[r + 1] - t.row[r]))
+                out += [(ids[lo + r], PLAIN, *p, *p, width, x, 0, *[0] * WINDOW) for x in np.unique(h[first[r] : first[r + 1]]).view(np.int64).tolist()]
+                width = int(min(WINDOW, b - a))
+                words = [int((t.kind[a + j : a + j + width] == WORD).sum()) for j in range(gfirst[r + 1] - gfirst[r])]
+                telling = min(PLAIN_WORDS, max(words, default=0))
+                for j, x in enumerate(g[gfirst[r] : gfirst[r + 1]].view(np.int64).tolist()):
+                    if words[j] >= telling > 0:
+                        out.append((ids[lo + r], TEMPLATE, *c, *p, width, x, j, *pattern[j : j + width].tolist(), *[0] * (WINDOW - width)))
+            columns = [[x[i] for x in out] for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) if n in ("which", "width") else long(x) for n, x in zip(names, columns, strict=True)], names=names)
+
+
+#: Bits of a window's hash, from these places on, that name its bits in a bitmap, and the bitmap's size, at most: 16 MB.
+PROBES = (0, 18, 37)
+MOST_BITS = 1 << 27
+
+
+class Known:
+    """A Bloom filter of window hashes. It may name others, never miss one; a fuller one only lets more rows through."""
+
+    def __init__(self, windows: DataFrame) -> None:
+        n = windows.count()
+        self.bits = min(MOST_BITS, max(1 << 12, 1 << (128 * n).bit_length()))
+        bit = windows.select(F.explode(F.array(*[F.shiftrightunsigned("h", p).bitwiseAND(F.lit(self.bits - 1)) for p in PROBES])).alias("b"))
+        # at most bits / 64 rows
+        words = bit.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))).alias("x")).toArrow()
+        self.words = np.zeros(self.bits // 64, np.int64)
+        self.words[words.column("w").to_numpy()] = words.column("x").to_numpy()
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), bool)
+        where = np.arange(len(h))
+        for p in PROBES:
+            at = ((h[where] >> np.uint64(p)) & np.uint64(self.bits - 1)).astype(np.int64)
+            where = where[(self.words[at >> 6] >> (at & 63)) & 1 > 0]
+        out[where] = True
+        return out
+
+
+def text_keys(column: pa.Array) -> list[tuple[int, int] | None]:
+    return [None if x is None else digest(x.encode()) for x in column.to_pylist()]
+
+
+def hits(batches: Iterator[pa.RecordBatch], widths: list[tuple[int, int]], known: Known, lead: Known) -> Iterator[pa.RecordBatch]:
+    """Of texts with a leading window: a row (doc_id, text's key) each, and once for a text its windows that items may have."""
+    names = [c.split()[0] for c in HIT.split(", ")]
+    seen: set[tuple[int, int]] = set()
+
+    def rows(n: int, **given: np.ndarray | list) -> pa.RecordBatch:
+        cols = [given.get(c, np.zeros(n, np.int64)) for c in names]
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x), pa.int32()) if c == "which" else long(x) for c, x in zip(names, cols, strict=True)], names=names)
+
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        for lo, end, raw, at in _text.chunks(batch.column(1)):
+            t, n = tokens(raw, at), end - lo
+            keep, found = np.zeros(n, bool), []
+            for which, width in widths:
+                h, first = _text.sequences(t.plain, t.row, width) if which == PLAIN else _text.sequences(t.template, t.kept_row, width)
+                hit = np.flatnonzero(known(h))
+                row = np.searchsorted(first, hit, "right") - 1
+                keep[row[lead(h[hit])]] = True
+                found.append((which, width, h, first, hit, row))
+            if not keep.any():
+                continue
+            keys = [digest(raw[at[r] : at[r + 1]].tobytes()) if keep[r] else (0, 0) for r in range(n)]
+            some = np.flatnonzero(keep)
+            yield rows(len(some), doc_id=[ids[lo + r] for r in some], k1=[keys[r][0] for r in some], k2=[keys[r][1] for r in some], which=np.full(len(some), -1))
+            for r in some:
+                keep[r] = keys[r] not in seen
+                seen.add(keys[r])
+            k = np.array(keys, np.int64)
+            held = values(raw, t)
+            slot = np.where(t.kind != WORD, held, np.uint64(0))
+            for which, width, h, first, hit, row in found:
+                own = keep[row]
+                hit, row = hit[own], row[own]
+                if which == PLAIN:  # how often doesn't matter
+                    _, once = np.unique(np.stack([row.astype(np.uint64), h[hit]]), axis=1, return_index=True)
+                    hit, row = hit[once], row[once]
+                place = hit - first[row]
+                given = {}
+                if which == TEMPLATE:
+                    for i in range(width):
+                        j = np.minimum(t.kept_row[row] + place + i, len(slot) - 1)
+                        given[SLOTS[i]] = np.where(t.kept_row[row] + place + i < t.kept_row[row + 1], slot[j], np.uint64(0))
+                for a in range(0, len(hit), 100_000):
+                    z = slice(a, a + 100_000)
+                    yield rows(
+                        len(hit[z]), k1=k[row[z], 0], k2=k[row[z], 1], which=np.full(len(hit[z]), which), h=h[hit[z]], at=place[z] if which == TEMPLATE else np.zeros(len(hit[z]), np.int64), **{c: x[z] for c, x in given.items()}
+                    )
+
+
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """Rows of all windows of all items with tokens: item_id, which, class (c1, c2), plain class (p1, p2), width, h, at, values."""
+    own = small_batches(benchmark).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return cut(own.where("text is not null").mapInArrow(item_rows, ITEM))
+
+
+def item_classes(benchmark: DataFrame) -> DataFrame:
+    """The members of the classes: item_id, plain_class and template_class, each by its least item_id. Items without tokens, or without template windows that tell, have none."""
+    rows = item_windows(benchmark)
+    least = rows.groupBy("which", "c1", "c2").agg(F.min("item_id").alias("least"))
+    of = rows.select("item_id", "which", "c1", "c2").distinct().join(least, ["which", "c1", "c2"])
+    return of.groupBy("item_id").agg(F.min(F.when(F.col("which") == PLAIN, F.col("least"))).alias("plain_class"), F.min(F.when(F.col("which") == TEMPLATE, F.col("least"))).alias("template_class"))
+
+
+class Search:
+    """The pairs of a text and a class of items that it holds, and the documents with such texts."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, least: float) -> None:
+        self.docs, self.least = docs, least
+        items = item_windows(benchmark)
+        cls, win = ["which", "c1", "c2"], ["which", "h"]
+        self.classes = items.select(*cls, "item_id").distinct().groupBy(*cls).agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("items"))
+        self.templates = items.where(F.col("which") == TEMPLATE).select("p1", "p2", "c1", "c2").distinct()
+        windows = items.select(*cls, "width", "h", "at", *SLOTS).distinct()
+        # the rarest windows of a class, one more than a document may lack; at most an item's windows in a group
+        of_class = windows.select(*cls, "h").distinct()
+        often = of_class.groupBy(*win).agg(F.count(F.lit(1)).alias("often"))
+        ranked = of_class.join(often, win).withColumn("rank", F.row_number().over(Window.partitionBy(*cls).orderBy("often", "h")))
+        size = of_class.groupBy(*cls).agg(F.count(F.lit(1)).alias("size"))
+        lead = F.col("rank") <= F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1
+        self.windows = cut(windows.join(ranked.select(*cls, "h", "rank"), [*cls, "h"]).join(size, cls).withColumn("lead", lead).drop("rank"))
+        self.found = self.search()
+
+    def search(self) -> DataFrame:
+        """Documents with windows of items, and the windows."""
+        widths = sorted((r["which"], r["width"]) for r in self.windows.select("which", "width").distinct().collect())  # ten at most
+        known, lead = Known(self.windows), Known(self.windows.where("lead"))
+        own = small_batches(self.docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        return cut(own.mapInArrow(lambda batches: hits(batches, widths, known, lead), HIT))
+
+    def pairs(self) -> DataFrame:
+        """k1, k2 (the text), which, c1, c2 (the class), coverage and consistency of the classes that a text holds."""
+        key, cls = ["k1", "k2"], ["which", "c1", "c2"]
+        place = [*key, "which", "h", "at"]
+        found = self.found.where("which >= 0").select(*place, *SLOTS).dropDuplicates(place)
+        lead = self.windows.where("lead").select(*cls, "h").distinct()
+        candidates = found.select(*key, "which", "h").distinct().join(lead, ["which", "h"]).select(*key, *cls).distinct()
+        wanted = self.windows.select(*cls, "h", "size", "width", F.col("at").alias("j"), *[F.col(v).alias(f"i{v}") for v in SLOTS])
+        met = cut(candidates.join(wanted, cls).join(found, [*key, "which", "h"]))
+        met = met.join(met.groupBy(*key, *cls).agg(F.countDistinct("h").alias("n"), F.first("size").alias("of")).where(F.col("n") >= self.least * F.col("of") - 1e-9).select(*key, *cls, "n"), [*key, *cls])
+        plain = met.where(F.col("which") == PLAIN).select(*key, *cls, (F.col("n") / F.col("size")).alias("coverage"), F.lit(1.0).alias("consistency")).distinct()
+        return plain.unionByName(self.aligned(met.where(F.col("which") == TEMPLATE)))
+
+    def aligned(self, met: DataFrame) -> DataFrame:
+        """Template classes along the alignment with the most windows, give or take a window's length; of short items along any."""
+        by = ["k1", "k2", "which", "c1", "c2"]
+        met = met.withColumn("shift", F.col("at") - F.col("j"))
+        best = met.groupBy(*by, "shift").agg(F.countDistinct("j").alias("windows")).groupBy(*by).agg(F.min(F.struct(-F.col("windows"), "shift")).getField("shift").alias("best"))
+        short = F.col("width") < WINDOW
+        way = F.when(short, F.col("shift")).otherwise(F.col("best"))
+        lines = cut(met.join(best, by).where(short | (F.abs(F.col("shift") - F.col("best")) <= WINDOW)).withColumn("way", way))
+        by = [*by, "way"]
+        covered = lines.groupBy(*by).agg((F.countDistinct("h") / F.first("size")).alias("coverage"))
+        slots = F.array(*[F.struct((F.col("j") + i).alias("place"), F.col(f"iv{i}").alias("mine"), F.col(f"v{i}").alias("other")) for i in range(WINDOW)])
+        places = (
+            lines.withColumn("x", F.explode(slots)).where("x.mine > 0")
+            .groupBy(*by, "x.place", "x.mine").agg(F.min(F.struct(F.abs(F.col("shift") - F.col("way")).alias("far"), F.col("x.other").alias("other"))).getField("other").alias("other"))
+        )
+        exchanged = places.groupBy(*by, "mine", "other").agg(F.count(F.lit(1)).alias("n"))
+        # an exchange counts if it's the most common one of both values
+        one = exchanged.groupBy(*by, "mine").agg(F.max(F.struct("n", "other")).getField("other").alias("other"))
+        two = exchanged.groupBy(*by, "other").agg(F.max(F.struct("n", "mine")).getField("mine").alias("mine"))
+        kept = exchanged.join(one, [*by, "mine", "other"]).join(two, [*by, "mine", "other"]).groupBy(*by).agg(F.sum("n").alias("kept"))
+        rate = exchanged.groupBy(*by).agg(F.sum("n").alias("slots")).join(kept, by, "left").select(*by, (F.coalesce("kept", F.lit(0)) / F.col("slots")).alias("consistency"))
+        every = covered.join(rate, by, "left").select(*by, "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency")).where(F.col("coverage") >= self.least - 1e-9)
+        return every.groupBy("k1", "k2", "which", "c1", "c2").agg(F.max(F.struct("consistency", "coverage")).alias("x")).select("k1", "k2", "which", "c1", "c2", "x.coverage", "x.consistency")
+
+    def held(self) -> DataFrame:
+        """k1, k2, item_id, items, coverage, template_coverage, slot_consistency, kind."""
+        pairs, key = cut(self.pairs()), ["k1", "k2"]
+        exact, like = pairs.where(F.col("which") == PLAIN), pairs.where(F.col("which") == TEMPLATE)
+        # the templates of the items that a text holds exactly
+        own = exact.select(*key, F.col("c1").alias("p1"), F.col("c2").alias("p2")).join(self.templates, ["p1", "p2"])
+        template = own.join(like.select(*key, "c1", "c2", "coverage"), [*key, "c1", "c2"]).groupBy(*key, "p1", "p2").agg(F.max("coverage").alias("template_coverage"))
+        exact = exact.join(template.withColumnsRenamed({"p1": "c1", "p2": "c2"}), [*key, "c1", "c2"], "left").withColumn("template_coverage", F.coalesce("template_coverage", F.lit(0.0)))
+        changed = like.where(F.col("consistency") >= self.least - 1e-9).join(own.select(*key, "c1", "c2").distinct(), [*key, "c1", "c2"], "left_anti")
+        names = [*key, "which", "c1", "c2", "coverage", "template_coverage", "consistency", "kind"]
+        exact = exact.withColumn("kind", F.lit("exact")).select(*names)
+        changed = changed.withColumn("template_coverage", F.col("coverage")).withColumn("coverage", F.lit(0.0)).withColumn("kind", F.lit("reparameterised")).select(*names)
+        return exact.unionByName(changed).join(self.classes, ["which", "c1", "c2"]).select(*key, "item_id", "items", "coverage", "template_coverage", F.col("consistency").alias("slot_consistency"), "kind")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """The benchmark items that documents hold.
 
-    docs: doc_id, text; benchmark: item_id, text; further columns are ignored. Returns a row for each pair of a
-    document and an item of which it holds at least ``least`` of the distinct windows: doc_id, item_id, coverage (of plain
-    windows), template_coverage, slot_consistency and kind (``exact``, or ``reparameterised`` if only the templates match).
-    An item of fewer than five tokens is one window of as many, which a document may hold anywhere. Null, empty and wordless ones hold nothing and are held by nothing.
-    Repeated documents or items give a row each. Empty tables give no rows. Rows stay where they are."""
-    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def one(made: Items) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, out = batch.column(0), list(matches(batch.column(1), made, least))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array([x[0] for x in out], pa.int64())), pa.array([made.ids[x[1]] for x in out], pa.int64()), *[pa.array([x[i] for x in out], pa.float64()) for i in (2, 3, 4)], pa.array([x[5] for x in out], pa.string())],
-                    names=[c.split()[0] for c in COLUMNS.split(", ")],
-                )
-
-        return own.mapInArrow(run, COLUMNS)
-
-    return reduce(DataFrame.unionByName, [one(made) for made in item_blocks(benchmark, block)])
-
-
-def item_blocks(benchmark: DataFrame, block: int = BLOCK_ITEMS) -> list[Items]:
-    """The items in blocks of about ``block``; at least one block, which may be empty."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    blocks = max(1, -(-items.count() // block))
-    out = []
-    for i in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()
-        rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
-        out.append(prepare([r["item_id"] for r in rows], [r["text"] for r in rows]))
-    return out
-
-
-def without_items(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, block: int = BLOCK_ITEMS) -> DataFrame:
-    """``docs`` without the rows whose text holds an item, as ``decontaminate`` finds them. Rows stay where they are."""
-    at = docs.columns.index("text")
-    for made in item_blocks(benchmark, block):
-
-        def clean(batches: Iterator[pa.RecordBatch], made: Items = made) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[x[0] for x in matches(batch.column(at), made, least)]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = small_batches(docs).mapInArrow(clean, docs.schema)
-    return docs
+    docs: doc_id, text; benchmark: item_id, text; further columns are ignored. Returns a row for each pair of a document and a
+    class of items of which it holds at least ``least`` of the distinct windows: doc_id, item_id (the least of the class), items (how
+    many the class has), coverage (of plain windows; 0 if too few), template_coverage (0 if too low), slot_consistency and
+    kind. Kind ``exact``: the class is of items with the same tokens. ``reparameterised``: of items with the same template and
+    the same pattern of equal values, none of which the document holds exactly; ``item_classes`` has the members. An
+    item of fewer than five tokens is one window of as many, which a document may hold anywhere. Null, empty and wordless
+    ones hold nothing and are held by nothing. Repeated documents give a row each, repeated items are one. Ties between
+    alignments go to the earliest. Empty tables give no rows. Only windows that items may have are shuffled."""
+    search = Search(docs, benchmark, least)
+    return search.found.where("which < 0").select("doc_id", "k1", "k2").join(search.held(), ["k1", "k2"]).drop("k1", "k2")
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+    """``docs`` without the rows whose text holds an item, as ``decontaminate`` finds them.
+
+    Null, empty and wordless texts stay, and so does everything if the benchmark is empty. Repeated rows go or stay together. Of other
+    columns, names may be any. Rows stay where they are but for those that are to go, and few others."""
+    bad = cut(Search(docs, benchmark, least).held().select("k1", "k2").distinct())
+    named, names = IdFilter(bad, "k1"), docs.columns
+    at, mark = names.index("text"), ["", ""]
+    for i in range(2):
+        mark[i] = f"text_key{i}"
+        while mark[i].lower() in {x.lower() for x in names}:
+            mark[i] += "_"
+
+    def meant(batch: pa.RecordBatch) -> tuple[np.ndarray, list]:
+        keys = text_keys(batch.column(at).cast(pa.string()))
+        known = np.array([k is not None for k in keys], bool)
+        return known & named(pa.array([k[0] if k else 0 for k in keys], pa.int64())), keys
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~meant(batch)[0]))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some, keys = meant(batch)
+            marks = [pa.array([k[i] if k else None for k in keys], pa.int64()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *marks], names=[*names, *mark]).filter(pa.array(some))
+
+    own = small_batches(docs)
+    marked = own.mapInArrow(others, StructType([*docs.schema.fields, *[StructField(m, LongType()) for m in mark]]))
+    stay = marked.join(bad.select(F.col("k1").alias(mark[0]), F.col("k2").alias(mark[1])), mark, "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    return own.mapInArrow(alone, docs.schema).unionByName(stay)
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,32 +2,28 @@
 
 import re
 
-import pyarrow as pa
-import pytest
-
-from mergeloom.llm import decontamination as d
-
-
-@pytest.mark.parametrize(
-    ("item", "text", "kind"),
-    [
-        ("capital of France", "He asked for the capital of France and got no answer.", "exact"),
-        ("capital of France", "the capital of a country other than France", None),
-        ("capital of France", "capital of", None),
-        ("capital of France", "Capital of France", "exact"),
-        ("photosynthesis", "How photosynthesis works in plants is shown below.", "exact"),
-        ("Solve 3x + 5 = 20", "The task was: solve 3x + 5 = 20 for x.", "exact"),
-        ("Solve 3x + 5 = 20", "The task was: solve 7x + 9 = 30 for x.", "reparameterised"),
-        ("add 3 and 3", "First add 4 and 5, afterwards add 6 and 6 to that.", "reparameterised"),
-        ("add 3 and 3", "First add 4 and 5 to that.", None),
-    ],
-)
-def test_short_item(item, text, kind):
-    got = list(d.matches(pa.array([None, text, ""], pa.string()), d.prepare([7], [item]), 0.8))
-    assert [(g[0], g[5]) for g in got] == ([(1, kind)] if kind else [])
-
-
-def test_short_items_among_long_ones_is_brute_force(docs):
+from .test_decontamination import kinds
+
+
+CASES = [
+    ("capital of France", "He asked for the capital of France and got no answer.", "exact"),
+    ("capital of France", "the capital of a country other than France", None),
+    ("capital of France", "capital of", None),
+    ("capital of France", "Capital of France", "exact"),
+    ("photosynthesis", "How photosynthesis works in plants is shown below.", "exact"),
+    ("Solve 3x + 5 = 20", "The task was: solve 3x + 5 = 20 for x.", "exact"),
+    ("Solve 3x + 5 = 20", "The task was: solve 7x + 9 = 30 for x.", "reparameterised"),
+    ("add 3 and 3", "First add 4 and 5, afterwards add 6 and 6 to that.", "reparameterised"),
+    ("add 3 and 3", "First add 4 and 5 to that.", None),
+]
+
+
+def test_short_item(spark):
+    got = kinds(spark, [t for _, t, _ in CASES], [i for i, _, _ in CASES])
+    assert [got.get((i, i)) for i in range(len(CASES))] == [k for _, _, k in CASES]
+
+
+def test_short_items_among_long_ones_is_brute_force(spark, docs):
     texts = [r.text for r in docs.limit(60).collect()]
     tok = lambda t: re.findall(r"[0-9]+|[^\W\d_]+", t.lower())
     items = [" ".join(tok(t)[5 : 5 + n]) for t in texts[:20] for n in (1, 2, 3, 4, 9)]
@@ -37,5 +33,4 @@ def test_short_items_among_long_ones_is_brute_force(docs):
         w = tok(item)
         own = grams(w, min(5, len(w))) if w else set()
         want |= {(k, i) for k, t in enumerate(texts) if own and len(own & grams(tok(t), min(5, len(w)))) >= 0.8 * len(own)}
-    got = {(m[0], m[1]) for m in d.matches(pa.array(texts), d.prepare(list(range(len(items))), items), 0.8) if m[5] == "exact"}
-    assert got == want
+    assert {p for p, kind in kinds(spark, texts, items).items() if kind == "exact"} == want
