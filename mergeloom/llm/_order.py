@@ -18,13 +18,13 @@ def range_cuts(keys: DataFrame, column: str, ranges: int) -> list[int]:
     return sorted({seen[i * len(seen) // ranges] for i in range(1, ranges)}) if seen else []
 
 
-def range_number(key: Column, cuts: list[int]) -> Column:
-    """How many cuts are at or below the key, found in two steps of about a square root each."""
+def range_number(key: Column, cuts: list, kind: str = "long") -> Column:
+    """How many cuts are at or below the key, found in two steps of about a square root each. Null longs are least."""
     if not cuts:
         return F.lit(0)
     step = max(1, int(len(cuts) ** 0.5))
-    key = F.coalesce(key, F.lit(LEAST))
-    blocks = F.array(*[F.lit(x).cast("long") for x in cuts[::step]])
+    key = F.coalesce(key, F.lit(LEAST)) if kind == "long" else key
+    blocks = F.array(*[F.lit(x).cast(kind) for x in cuts[::step]])
     block = F.size(F.filter(blocks, lambda c: c <= key))  # blocks that start at or below the key
-    inner = F.slice(F.array(*[F.lit(x).cast("long") for x in cuts]), F.greatest(block - 1, F.lit(0)) * step + 1, F.lit(step))
+    inner = F.slice(F.array(*[F.lit(x).cast(kind) for x in cuts]), F.greatest(block - 1, F.lit(0)) * step + 1, F.lit(step))
     return F.when(block == 0, 0).otherwise((block - 1) * step + F.size(F.filter(inner, lambda c: c <= key))).cast("int")

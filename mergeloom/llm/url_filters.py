@@ -3,21 +3,23 @@
 A host is keyed by its labels in reverse, each followed by a dot (``com.example.``), so
 a host and all its subdomains are the keys of one interval that starts at the rule's key. Rows
 are dealt by ranges of the key and sorted; a sweep over them keeps a stack of the
-nested intervals that are open, each with the path prefixes of its rules. Intervals that reach into
+nested intervals that are open, each with the path prefixes of its rules by length. Between two ends of intervals the
+stack is the same, so all pages there are judged at once, by a lookup for each length of prefixes. Intervals that reach into
 several ranges are given to each of them, so no range depends on another one's sweep. Rules are never
 broadcast; a hot host is split, as the ranges are cut by (key, row)."""
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.functions.session import table
+from mergeloom.functions.session import small_batches, table
+from mergeloom.llm._order import range_number
 
 #: Ranges per shuffle partition, and keys kept per range, at most, to choose where ranges are cut.
 RANGES = 4
@@ -57,6 +59,39 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
     return spark.createDataFrame(rules, "host string, path string, verdict string")
 
 
+class Open:
+    """The rules of a host whose interval is open: path prefixes by their length."""
+
+    def __init__(self, key: str) -> None:
+        self.key = key
+        self.rules: dict[int, dict[str, tuple[str, str]]] = {}
+        self.made: dict[int, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
+
+    def add(self, host: str, path: str, verdict: str) -> None:
+        own = self.rules.setdefault(len(path), {})
+        if path not in own or (verdict == "block") > (own[path][1] == "block"):
+            own[path] = (host + path, verdict)
+            self.made.pop(len(path), None)
+
+    def prefixes(self, size: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The prefixes of a length, their rules and verdicts."""
+        if size not in self.made:
+            own = self.rules[size]
+            self.made[size] = (pa.array(list(own), pa.string()), np.array([x[0] for x in own.values()], object), np.array([x[1] for x in own.values()], object))
+        return self.made[size]
+
+
+def judge(path: pa.Array, stack: list[Open], default: str) -> tuple[pa.Array, pa.Array]:
+    """The rules and verdicts of paths on hosts for which the rules in ``stack`` are open."""
+    rule, verdict = np.full(len(path), None, object), np.full(len(path), default, object)
+    # the length of a rule's host is that of its key without the last dot
+    for _, _, x, size in sorted((len(x.key) + size, len(x.key), i, size) for i, x in enumerate(stack) for size in x.rules):
+        prefixes, rules, verdicts = stack[x].prefixes(size)
+        k = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(path, 0, size), value_set=prefixes), -1).to_numpy()
+        rule[k >= 0], verdict[k >= 0] = rules[k[k >= 0]], verdicts[k[k >= 0]]
+    return pa.array(rule, pa.string()), pa.array(verdict, pa.string())
+
+
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", parts: int | None = None) -> DataFrame:
     """Judges each page's url by the longest rule that fits it.
 
@@ -64,27 +99,22 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", parts
     and all subdomains if the path starts with its own. Of the rules that fit, the one with the longest host
     and path together wins, then the longest host, then the verdict ``block``. Returns page_id, host, path,
     rule (host and path, null if none fits) and verdict (else ``default``). A null url, or one without
-    ``://``, has an empty host and path, which no rule fits. Rules with a null or empty host are
+    ``://``, has an empty host and path, which no rule fits. Urls of any length are judged whole. Rules with a null or empty host are
     ignored; a null path is the empty prefix. Repeated rows are judged each. Empty tables give no rows,
     or the default verdict."""
     spark = pages.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = parsed(pages)
-    tie = F.format_string("%020d", F.pmod(F.xxhash64("page_id", "url"), F.lit(2**62)))
-    rows = rows.withColumn("tie", tie)
+    rows = parsed(small_batches(pages))
+    tie = F.lpad(F.pmod(F.xxhash64("page_id", "url"), F.lit(2**62)).cast("string"), 20, "0")
+    rows = rows.withColumn("tie", tie).withColumn("place", F.concat("key", F.lit("\u0001"), "tie"))
     # where ranges are cut only balances the work; the row with the least hash of each hash bucket is a fair choice
     ranges = RANGES * parts
-    hashed = rows.select("key", "tie", F.xxhash64("tie").alias("h")).groupBy(F.pmod("h", F.lit(PER_RANGE * ranges)).alias("b")).agg(F.min(F.struct("h", "key", "tie")).alias("x"))
-    seen = sorted((r["key"], r["tie"]) for r in hashed.select("x.key", "x.tie").collect())  # at most the buckets
+    hashed = rows.select("place", F.xxhash64("tie").alias("h")).groupBy(F.pmod("h", F.lit(PER_RANGE * ranges)).alias("b")).agg(F.min(F.struct("h", "place")).alias("x"))
+    seen = sorted(r["place"] for r in hashed.select("x.place").collect())  # at most the buckets
     cuts = sorted({seen[i * len(seen) // ranges] for i in range(1, ranges)}) if seen else []
 
-    @F.pandas_udf("int")
-    def range_of(key: pd.Series, tie: pd.Series) -> pd.Series:
-        return pd.Series([bisect_right(cuts, x) for x in zip(key, tie, strict=True)], dtype="int32")
-
-    @F.pandas_udf("array<int>")
-    def ranges_of(key: pd.Series) -> pd.Series:
-        return pd.Series([list(range(bisect_right(cuts, (k, "")), bisect_left(cuts, (k[:-1] + "/", "")) + 1)) for k in key])  # '/' follows '.'
+    def number(place: Column) -> Column:
+        return range_number(place, cuts, "string")
 
     own = (
         rules.select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict")
@@ -94,35 +124,42 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", parts
             reversed_key(F.translate(F.col("host"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).alias("key"), F.lit("").alias("tie"), "verdict",
         )
     )
-    own = own.withColumn("part", F.explode(ranges_of("key")))
-    both = rows.select("page_id", "host", "path", "key", "tie", F.lit(None).cast("string").alias("verdict"), range_of("key", "tie").alias("part")).unionByName(own)
+    # '/' follows '.', with which a key ends
+    own = own.withColumn("part", F.explode(F.sequence(number(F.col("key")), number(F.concat(F.expr("left(key, length(key) - 1)"), F.lit("/"))))))
+    both = rows.select("page_id", "host", "path", "key", "tie", F.lit(None).cast("string").alias("verdict"), number(F.col("place")).alias("part")).unionByName(own)
     dealt = both.repartition(parts, "part").sortWithinPartitions("part", "key", F.col("verdict").isNull(), "tie", "path")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, stack = None, []  # of [key, [(path, verdict, rule's host), ...]]
+        part, stack = None, []
         for batch in batches:
-            out = []
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "host", "path", "key", "verdict", "part")]
-            for page, host, path, key, verdict, at in zip(*cols, strict=True):
-                if at != part:
-                    part, stack = at, []
-                while stack and not key.startswith(stack[-1][0]):
-                    stack.pop()
-                if verdict is not None:
-                    if not stack or stack[-1][0] != key:
-                        stack.append([key, []])
-                    stack[-1][1].append((path, verdict, host))
+            host, path, key, verdict, parted = (batch.column(batch.schema.get_field_index(c)) for c in ("host", "path", "key", "verdict", "part"))
+            is_rule, at = verdict.is_valid().to_numpy(zero_copy_only=False), parted.to_numpy()
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1]) | is_rule[1:] | is_rule[:-1]
+            cuts_ = np.append(np.flatnonzero(new), len(at))
+            judged = [pa.array([], pa.string())], [pa.array([], pa.string())]
+            for lo, hi in zip(cuts_[:-1].tolist(), cuts_[1:].tolist(), strict=True):  # a rule, or pages between rules
+                if at[lo] != part:
+                    part, stack = at[lo], []
+                if is_rule[lo]:
+                    name = key[lo].as_py()
+                    while stack and not name.startswith(stack[-1].key):
+                        stack.pop()
+                    if not stack or stack[-1].key != name:
+                        stack.append(Open(name))
+                    stack[-1].add(host[lo].as_py(), path[lo].as_py(), verdict[lo].as_py())
                     continue
-                best = None
-                for _, nested in stack:
-                    for prefix, says, rule_host in nested:
-                        if path.startswith(prefix):
-                            rank = (len(rule_host) + len(prefix), len(rule_host), says == "block")
-                            if best is None or rank > best[0]:
-                                best = (rank, rule_host + prefix, says)
-                out.append((page, host, path, best and best[1], best[2] if best else default))
+                while lo < hi:
+                    while stack and not key[lo].as_py().startswith(stack[-1].key):
+                        stack.pop()
+                    inside = pc.starts_with(key.slice(lo, hi - lo), stack[-1].key).to_numpy(zero_copy_only=False) if stack else np.ones(hi - lo, bool)
+                    n = hi - lo if inside.all() else int(inside.argmin())  # keys are sorted, so the others follow
+                    for x, found in zip(judged, judge(path.slice(lo, n), stack, default), strict=True):
+                        x.append(found)
+                    lo += n
+            pages_ = batch.filter(pa.array(~is_rule))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), *[pa.string()] * 4))], names=["page_id", "host", "path", "rule", "verdict"]
+                [*(pages_.column(pages_.schema.get_field_index(c)) for c in ("page_id", "host", "path")), *(pa.concat_arrays(x) for x in judged)], names=["page_id", "host", "path", "rule", "verdict"]
             )
 
     return dealt.mapInArrow(sweep, "page_id long, host string, path string, rule string, verdict string")

@@ -41,3 +41,12 @@ def test_hot_host_and_nothing(spark):
 def test_query(spark, sf, oracle):
     got = sorted(map(str, ((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filters.op8_url_filters(spark, sf).collect())))
     assert got == sorted(map(str, oracle.sql(f"SELECT page_id, host, path, rule, verdict FROM ({url_filters.SQL['op8_url_filters']})").fetchall()))
+
+
+def test_many_rules_on_a_host_and_long_urls(spark):
+    r = random.Random(3)
+    rules = [("example.com", f"/{'x' * (i % 7)}{i}/", r.choice(["allow", "block"])) for i in range(400)] + [("com", "/" + "y" * 5_000, "block")]
+    urls = [f"http://{r.choice(['', 'a.', 'b.c.'])}example.com/{'x' * (i % 7)}{i % 450}/{i}" for i in range(900)] + ["http://q.com/" + "y" * 100_000, "http://q.com/" + "y" * 4_999]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filters.url_filter(df, url_filters.rule_table(spark, rules), parts=3).collect()}
+    assert got == {i: brute(u, rules) for i, u in enumerate(urls)}
