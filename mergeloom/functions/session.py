@@ -21,10 +21,12 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read from there.
 
     The folder is the one that the cluster names in ``spark.checkpoint.dir``.
-    Only where that is unset (tests on one machine) a local one is made."""
+    Only on one machine (a ``local`` master, as in tests) a folder is made where that is unset."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mergeloom-"))
     return df.checkpoint(eager=True)
 

@@ -42,12 +42,11 @@ def excluded(path: Column, patterns: list[str]) -> Column:
 
 
 def capture_stem(name: Column) -> Column:
-    """A file's name without what copies and edits add: an uuid in front, an editor's ending, a copy's number, a motion suffix, in this order."""
+    """A file's name without what copies and edits add: an uuid in front, one editor's ending, a copy's number and blanks before it, a motion suffix, in this order."""
     out = F.regexp_replace(F.lower(name), r"\.[a-z0-9]{1,5}$", "")
     out = F.regexp_replace(out, r"^original_[0-9a-f-]{36}_", "")
-    for e in EDIT_ENDINGS:
-        out = F.regexp_replace(out, f"{e}$", "")
-    out = F.regexp_replace(out, r"\([0-9]+\)$", "")
+    out = F.regexp_replace(out, f"({'|'.join(EDIT_ENDINGS)})$", "")  # the first that fits, which is the longest
+    out = F.regexp_replace(out, r"\s*\([0-9]+\)$", "")
     out = F.regexp_replace(out, r"~[0-9]+$", "")
     return F.regexp_replace(out, r"\.mp$", "")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,9 +11,12 @@ from pyspark.sql.window import Window
 from mergeloom.functions.hashing import hamming
 
 
-def _bands(radius: int, bits: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 bands: two hashes that differ in at most ``radius`` bits agree on one of them."""
-    n = radius + 1
+#: Bands that make up a key of the Hamming join. Each multiplies the bits of a key, and the keys of a hash.
+AGREE = 2
+
+
+def _bands(n: int, bits: int) -> list[tuple[int, int]]:
+    """(shift, width) of ``n`` bands."""
     edges = [i * bits // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -19,27 +24,38 @@ def _bands(radius: int, bits: int) -> list[tuple[int, int]]:
 def hamming_join(df: DataFrame, key: str, value: str, radius: int, bits: int = 64, on: list[str] | None = None) -> DataFrame:
     """All pairs (a < b, distance) of rows whose hashes differ in at most ``radius`` bits and whose ``on`` columns are equal.
 
-    Lossless for any radius below ``bits``: a band is an equi-join key. A pair comes only from the first band on
-    which it agrees, so nothing has to be made distinct afterwards. Rows with a null hash pair with nothing."""
+    Lossless for any radius below ``bits``: of radius + 2 bands at least two agree, and each two of them are an equi-join key (of
+    radius + 1 bands one, where the bits don't suffice for more). Different hashes are joined, then their rows. A pair of hashes comes only
+    from the first bands on which it agrees, so nothing has to be made distinct afterwards. Rows with a null hash pair with nothing."""
     if radius >= bits:
         raise ValueError("the radius must be below the number of bits")
-    bands = _bands(radius, bits)
+    agree = min(AGREE, bits - radius)
+    bands = _bands(radius + agree, bits)
 
     def part(x: Column, shift: int, width: int) -> Column:
         return F.call_function("shiftrightunsigned", x, F.lit(shift)).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
 
     on = on or []
-    own = df.where(F.col(value).isNotNull()).select(*on, F.col(key).alias("k"), F.col(value).alias("h"))
-    struct = F.array(*[F.struct(F.lit(i).alias("band"), part(F.col("h"), s, w).cast("long").alias("bits")) for i, (s, w) in enumerate(bands)])
-    one = own.select(*on, "k", "h", F.explode(struct).alias("x")).select(*on, "k", "h", "x.band", "x.bits")
-    a = one.select(*on, F.col("k").alias("a"), F.col("h").alias("ha"), "band", "bits")
-    b = one.select(*on, F.col("k").alias("b"), F.col("h").alias("hb"), "band", "bits")
+    rows = df.where(F.col(value).isNotNull()).select(*on, F.col(key).alias("k"), F.col(value).cast("long").alias("h"))
+    keys = []
+    for chosen in combinations(range(len(bands)), agree):
+        word, at = F.lit(0).cast("long"), 0
+        for i in chosen:
+            word, at = word.bitwiseOR(F.shiftleft(part(F.col("h"), *bands[i]).cast("long"), at)), at + bands[i][1]
+        # the bands of the key, and those up to its last one
+        keys.append(F.struct(F.lit(sum(1 << i for i in chosen)).cast("long").alias("own"), F.lit((2 << chosen[-1]) - 1).cast("long").alias("upto"), word.alias("bits")))
+    one = rows.select(*on, "h").distinct().withColumn("x", F.explode(F.array(*keys))).select(*on, "h", "x.own", "x.upto", "x.bits")
+    x, y = one.withColumnRenamed("h", "ha"), one.drop("upto").withColumnRenamed("h", "hb")
     differ = F.col("ha").bitwiseXOR(F.col("hb"))
-    earlier = F.lit(False)
-    for i, (s, w) in enumerate(bands[:-1]):
-        earlier = earlier | ((F.col("band") > i) & (part(differ, s, w) == 0))
+    agreed = F.lit(0).cast("long")
+    for i, band in enumerate(bands):
+        agreed = agreed.bitwiseOR(F.when(part(differ, *band) == 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
     d = hamming(F.col("ha"), F.col("hb"))
-    return a.join(b, [*on, "band", "bits"]).where((F.col("a") < F.col("b")) & (d <= radius) & ~earlier).select("a", "b", d.alias("distance"))
+    near = x.join(y, [*on, "own", "bits"]).where((F.col("ha") < F.col("hb")) & (d <= radius) & (agreed.bitwiseAND(F.col("upto")) == F.col("own"))).select(*on, "ha", "hb", d.alias("distance"))
+    a, b = rows.select(*on, F.col("k").alias("a"), F.col("h").alias("ha")), rows.select(*on, F.col("k").alias("b"), F.col("h").alias("hb"))
+    crossed = near.join(a, [*on, "ha"]).join(b, [*on, "hb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").where("a <> b")
+    same = a.join(b.withColumnRenamed("hb", "ha"), [*on, "ha"]).where("a < b").select("a", "b", F.lit(0).alias("distance"))
+    return crossed.unionByName(same.withColumn("distance", F.col("distance").cast(crossed.schema["distance"].dataType)))
 
 
 def hamming_edges(df: DataFrame, key: str, value: str, radius: int, bits: int = 64, on: list[str] | None = None) -> DataFrame:

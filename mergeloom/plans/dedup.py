@@ -205,11 +205,8 @@ def review_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def human_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups after a person joined some texts outside any radius and parted others: a parted pair loses its own link only."""
     hashed = _hashed(spark, sf_dir)
-    edges = hamming_edges(hashed, "doc_id", "simhash", 4, 60).select("u", "v")
     same = hashed.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("u"), (F.col("doc_id") + 1).alias("v")).join(hashed.select(F.col("doc_id").alias("v")), "v", "left_semi").select("u", "v")
-    apart = hamming_join(hashed, "doc_id", "simhash", 4, 60).where("(a + b) % 3 = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    pairs = hamming_join(hashed, "doc_id", "simhash", 4, 60).select(F.col("a").alias("u"), F.col("b").alias("v")).join(apart, ["u", "v"], "left_anti")
-    del edges
+    pairs = hamming_join(hashed, "doc_id", "simhash", 4, 60).where("(a + b) % 3 <> 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = connected_components(pairs.unionByName(same))
     return hashed.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"))
 
@@ -334,8 +331,8 @@ WITH RECURSIVE {_TOKENS} {_PAIRS}
 conf AS (SELECT a, b FROM p WHERE distance <= 4 AND (a + b) % 3 <> 0 UNION SELECT x.doc_id, y.doc_id FROM sim x JOIN sim y ON y.doc_id = x.doc_id + 1 WHERE x.doc_id % 50 = 0),
 {_COMPONENTS} SELECT doc_id, group_id FROM g
 """,
-    "exact_tiers": """
-WITH RECURSIVE d AS (SELECT doc_id, sha256(text) AS sha, md5(substr(text, 1, 40)) AS pixel FROM documents),
+    "exact_tiers": r"""
+WITH RECURSIVE d AS (SELECT doc_id, sha256(text) AS sha, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS pixel FROM documents),
 e AS (SELECT a.doc_id AS u, b.doc_id AS v FROM d a JOIN d b ON a.doc_id <> b.doc_id AND (a.sha = b.sha OR a.pixel = b.pixel)),
 r AS (SELECT doc_id AS node, doc_id AS label FROM d UNION SELECT e.v, r.label FROM r JOIN e ON e.u = r.node)
 SELECT node AS doc_id, min(label) AS group_id FROM r GROUP BY node
@@ -348,7 +345,7 @@ s AS (SELECT conv_id, md5(string_agg(text, '|' ORDER BY turn)) AS stream, max(tu
 r AS (SELECT * FROM f JOIN s USING (conv_id)),
 p AS (SELECT a.conv_id AS a, b.conv_id AS b, a.stream AS sa, b.stream AS sb, a.frames AS fa, b.frames AS fb,
   list_max(list_transform(range(1, greatest(len(a.frames), len(b.frames)) + 1), lambda i: bit_count(xor(a.frames[i], b.frames[i])))) AS far
-  FROM r a JOIN r b ON a.conv_id < b.conv_id AND a.duration = b.duration AND a.frames[1] % 64 = b.frames[1] % 64)
+  FROM r a JOIN r b ON a.conv_id < b.conv_id AND a.duration = b.duration)
 SELECT a, b, far::BIGINT AS farthest, CASE WHEN sa = sb THEN 'confirm' WHEN len(fa) = 0 OR len(fa) <> len(fb) THEN 'review' WHEN far <= 24 THEN 'confirm' ELSE 'reject' END AS outcome FROM p
 """,
 }

@@ -102,8 +102,8 @@ CASE o_orderkey % 8 WHEN 0 THEN floor(epoch(o_orderdate))::BIGINT + 36672 WHEN 1
 """,
     "capture_stem": rf"""
 WITH {_NAMES}, s AS (SELECT o_orderkey, name, lower(name) AS l, regexp_replace(lower(name), '\.[a-z0-9]{{1,5}}$', '') AS a FROM n),
-t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(a, '-effects-edited$', ''), '-edited$', ''), '-effects$', '') AS b FROM s)
-SELECT o_orderkey, regexp_replace(regexp_replace(regexp_replace(b, '\([0-9]+\)$', ''), '~[0-9]+$', ''), '\.mp$', '') AS stem, '' AS origin, l = 'thumbs.db' OR ends_with(l, '.part') AS skipped FROM t
+t AS (SELECT *, regexp_replace(a, '(-effects-edited|-edited|-effects)$', '') AS b FROM s)
+SELECT o_orderkey, regexp_replace(regexp_replace(regexp_replace(b, '\s*\([0-9]+\)$', ''), '~[0-9]+$', ''), '\.mp$', '') AS stem, '' AS origin, l = 'thumbs.db' OR ends_with(l, '.part') AS skipped FROM t
 """,
     "exclusion": r"""
 WITH p AS (SELECT page_id, lower(regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '/$', '')) AS path FROM pages)

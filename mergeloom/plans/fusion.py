@@ -136,7 +136,9 @@ i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS
 SELECT user_id, island::BIGINT AS island, count(*)::BIGINT AS n, min(t) AS first, max(t) AS last FROM i GROUP BY user_id, island
 """,
     "claim_time_choice": f"""
-WITH {_CLAIMS}, f AS (SELECT *, CASE source WHEN 'exif' THEN 0 WHEN 'quicktime' THEN 1 WHEN 'google_json' THEN 3 ELSE 4 END AS r FROM c WHERE source <> 'fs'),
+WITH {_CLAIMS}, f AS (SELECT *, CASE source WHEN 'exif' THEN 0 WHEN 'quicktime' THEN 1 WHEN 'google_json' THEN 3 ELSE 4 END AS r FROM (SELECT c.* REPLACE (CASE WHEN m IS NOT NULL AND source IN ('exif', 'quicktime', 'google_json') THEN confidence * 0.25 ELSE confidence END AS confidence)
+FROM c LEFT JOIN (SELECT t // 60 AS m FROM c WHERE source IN ('exif', 'quicktime', 'google_json') GROUP BY 1 HAVING count(DISTINCT item) >= 2) ON m = t // 60
+WHERE source <> 'fs' OR item NOT IN (SELECT item FROM c WHERE source <> 'fs'))),
 g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY item ORDER BY t, event_id) > 60 THEN 1 ELSE 0 END AS fresh FROM f),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY item ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS island FROM g),
 s AS (SELECT item, island, max(CASE WHEN source IN ('exif', 'quicktime') THEN 1 ELSE 0 END) AS camera, min(t) AS t0, count(*) AS n FROM i GROUP BY item, island),
@@ -162,12 +164,12 @@ f AS (SELECT g.item, b.lat, b.lon, b.source, max(2 * 6371.0 * asin(sqrt(least(1.
 SELECT item, round(lat, 6)::DOUBLE AS lat, round(lon, 6)::DOUBLE AS lon, source, round(km, 6) AS km, claims::BIGINT AS claims, CASE WHEN km <= 0.1 THEN 'agreed' WHEN km < 5 THEN 'gps_spread' WHEN source IN ('exif', 'quicktime') THEN 'camera' ELSE 'gps_review' END AS verdict FROM f
 """,
     "json_claims": """
-WITH e AS (SELECT event_id, floor(epoch(ts))::BIGINT AS t, (props->>'$.k')::BIGINT AS k FROM events WHERE event_id % 5 = 0)
+WITH e AS (SELECT event_id, floor(epoch(ts))::BIGINT AS t, (props->>'$.k')::BIGINT AS k FROM events)
 SELECT event_id, 'datetime_utc' AS field, t::VARCHAR AS value, 0.9::DOUBLE AS confidence FROM e UNION ALL SELECT event_id, 'upload', (t + 86400)::VARCHAR, 0.2 FROM e
 UNION ALL SELECT event_id, 'gps', printf('%.7f,%.7f', (k * 0.5)::DOUBLE, (k * 1.0)::DOUBLE), 0.9 FROM e WHERE k % 3 <> 0 UNION ALL SELECT event_id, 'original_filename', 'IMG_' || event_id, 1.0 FROM e
 """,
     "tag_claims": """
-WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') AS d, strftime(o_orderdate + INTERVAL 1 DAY, '%Y:%m:%d 00:00:00') AS m FROM orders WHERE o_orderkey % 10 = 0),
+WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') AS d, strftime(o_orderdate + INTERVAL 1 DAY, '%Y:%m:%d 00:00:00') AS m FROM orders),
 c AS (SELECT o_orderkey, 'datetime_local' AS field, d AS value, 0.95 AS confidence FROM o WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 'datetime_local', d, 0.8 FROM o UNION ALL SELECT o_orderkey, 'datetime_local', m, 0.3 FROM o
   UNION ALL SELECT o_orderkey, 'utc_offset', '+02:00', 0.9 FROM o UNION ALL SELECT o_orderkey, 'utc_offset', CASE WHEN o_orderkey % 4 = 0 THEN '+02:00' ELSE '+01:00' END, 0.7 FROM o)
 SELECT o_orderkey, field, value, max(confidence)::DOUBLE AS confidence FROM c GROUP BY ALL

@@ -247,7 +247,7 @@ m AS (SELECT d.user_id, d.day, kn.off, kn.day AS from_day, row_number() OVER (PA
 SELECT user_id, day::VARCHAR AS day, off::BIGINT AS "offset", from_day::VARCHAR AS from_day FROM m WHERE k = 1
 """,
     "zone_from_place": f"""
-WITH {_ROWS}, o AS (SELECT DISTINCT zone * 3600 AS off, month, lat, lon FROM e WHERE lat IS NOT NULL AND event_id % 20 = 0), p AS (SELECT event_id, lat, lon, month FROM e WHERE lat IS NOT NULL AND event_id % 20 = 1),
+WITH {_ROWS}, o AS (SELECT DISTINCT zone * 3600 AS off, month, lat, lon FROM e WHERE lat IS NOT NULL AND event_id % 20 = 0), p AS (SELECT event_id, lat, lon, month FROM e WHERE lat IS NOT NULL AND event_id % 20 <> 0),
 m AS (SELECT p.event_id, o.off, {_km('p.lat', 'p.lon', 'o.lat', 'o.lon')} + CASE WHEN p.month <> o.month THEN 50.0 ELSE 0.0 END AS km FROM p JOIN o ON true),
 k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY km, off) AS k FROM m WHERE km < 300)
 SELECT p.event_id, k.off::BIGINT AS "offset", round(k.km, 6) AS km FROM p LEFT JOIN k ON k.event_id = p.event_id AND k.k = 1

@@ -107,7 +107,8 @@ def attention_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What waits for a person, with a signature of what it is about."""
     own = _roles(spark, sf_dir)
     docs = table(spark, sf_dir, "documents")
-    sign = lambda c: F.md5(F.array_join(F.sort_array(F.collect_list(c)), ","))
+    # a sum of hashes, which no order of rows changes and no task gathers
+    sign = lambda c: F.sum(F.conv(F.substring(F.md5(c.cast("string")), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
     variants = own.where("role = 'variant'").agg(F.lit("variants").alias("card"), F.count(F.lit(1)).alias("n"), sign(F.col("doc_id")).alias("signature"))
     unread = docs.where("n_chars < 100").agg(F.lit("unreadable").alias("card"), F.count(F.lit(1)).alias("n"), sign(F.col("doc_id")).alias("signature"))
     sources = docs.groupBy("source").agg(F.count(F.lit(1)).alias("c")).where("c < 51").agg(F.lit("sources").alias("card"), F.count(F.lit(1)).alias("n"), sign(F.col("source")).alias("signature"))
@@ -148,8 +149,8 @@ WITH {_ROLES}, j AS (SELECT group_id, min(CASE WHEN role = 'canonical' THEN path
 SELECT group_id, '{{"keep":"' || keep || '","companions":' || CASE WHEN c IS NULL THEN '[]' ELSE '["' || array_to_string(c, '","') || '"]' END || ',"drop":' || CASE WHEN d IS NULL THEN '[]' ELSE '["' || array_to_string(d, '","') || '"]' END || ',"review":' || CASE WHEN v IS NULL THEN '[]' ELSE '["' || array_to_string(v, '","') || '"]' END || '}}' AS manifest FROM j
 """,
     "attention_cards": f"""
-WITH {_ROLES}, s AS (SELECT source FROM documents GROUP BY source HAVING count(*) < 51), c AS (SELECT 'variants' AS card, count(*)::BIGINT AS n, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS signature FROM r WHERE role = 'variant'
-UNION ALL SELECT 'unreadable', count(*), md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) FROM documents WHERE n_chars < 100 UNION ALL SELECT 'sources', count(*), md5(string_agg(source, ',' ORDER BY source)) FROM s) SELECT * FROM c WHERE n > 0
+WITH {_ROLES}, s AS (SELECT source FROM documents GROUP BY source HAVING count(*) < 51), c AS (SELECT 'variants' AS card, count(*)::BIGINT AS n, sum(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT)::VARCHAR AS signature FROM r WHERE role = 'variant'
+UNION ALL SELECT 'unreadable', count(*), sum(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT)::VARCHAR FROM documents WHERE n_chars < 100 UNION ALL SELECT 'sources', count(*), sum(('0x' || substr(md5(source), 1, 15))::BIGINT)::VARCHAR FROM s) SELECT * FROM c WHERE n > 0
 """,
     "day_changes": "SELECT (user_id % 5 - 2) * 3 AS hours, count(*)::BIGINT AS n, count(*) FILTER ((ts + to_hours((user_id % 5 - 2) * 3))::DATE <> ts::DATE)::BIGINT AS day_changes FROM events GROUP BY 1",
 }

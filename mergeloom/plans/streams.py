@@ -35,13 +35,25 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of events per type with at most a minute in between, as a stream finds them (those that the watermark has closed) and as a batch does (the rest)."""
+    """Sessions of events per type with at most a minute in between, as the stream alone finds them.
+
+    A session comes out when the watermark has passed it. A marker a day after the last event, which arrives when all events have,
+    moves the watermark past the last sessions; its own never closes."""
     out = _folder(spark)
-    drain(sessions(_stream(spark, sf_dir), ["event_type"], "ts"), f"{out}/cp", lambda b, n: b.write.mode("overwrite").parquet(f"{out}/rows/batch={n}"))
-    closed = spark.read.parquet(f"{out}/rows").drop("batch")
-    every = sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), ["event_type"], "ts")
-    both = closed.unionByName(every).dropDuplicates(["event_type", "start", "end", "n"])  # an anti join would be pushed below the merging of sessions
-    return both.groupBy("event_type").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
+    marker = f"{out}/marker"
+    schema = table(spark, sf_dir, "events").limit(0).withColumn("ts", F.col("ts").cast("timestamp"))
+    schema.write.parquet(marker)
+    events = _stream(spark, sf_dir).unionByName(spark.readStream.schema(schema.schema).parquet(marker))
+
+    def run() -> None:
+        drain(sessions(events, ["event_type"], "ts"), f"{out}/cp", lambda b, n: b.write.mode("overwrite").parquet(f"{out}/rows/batch={n}"))
+
+    run()
+    last = table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("ts")).where("ts is not null")
+    late = last.select((F.col("ts") + F.expr("interval 1 day")).alias("ts"), F.lit("").alias("event_type"))
+    schema.unionByName(late, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(marker)
+    run()
+    return spark.read.parquet(f"{out}/rows").where("event_type <> ''").groupBy("event_type").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
 
 
 QUERIES = {f.__name__: f for f in (stream_ingest, stream_sessions)}
