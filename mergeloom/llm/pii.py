@@ -257,7 +257,10 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced by ``[KIND]``, and ``n_chars``, if there, brought up to date."""
+    """``docs`` with personal data in ``text`` replaced by ``[KIND]``, and ``n_chars``, if there, brought up to date.
+
+    Null texts keep their n_chars; empty ones have 0. Of overlapping spans the first names the place, up to the last one's end. Repeated rows change alike.
+    An empty table stays empty. Other columns may have any name."""
     weights = weights if weights is not None else train(docs)
     own = docs.withColumn("text", F.when(F.col("text").isNotNull(), redacted(F.col("text"), accepted(candidates(F.col("text")), weights))))
     if "n_chars" in docs.columns:

@@ -152,7 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Model |
 def score(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
     """``docs`` with score (0 to 1) and offending (sentences of at least ``least``: start and end in code points, score).
 
+    Columns of these names that ``docs`` has are replaced. Repeated rows score alike; an empty table stays empty.
     A null or empty text has no sentences and scores 0; without a model everything does. Rows stay where they are."""
+    docs = docs.drop("score", "offending")
     kinds = "score double, offending array<struct<start: long, end: long, score: double>>"
     schema = docs.schema
     names = [f.name for f in schema.fields]
@@ -171,7 +173,9 @@ def score(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame
 
 
 def without_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score at least ``threshold``. Rows stay where they are."""
+    """``docs`` without the rows that score at least ``threshold``. Rows stay where they are.
+
+    Null and empty texts score 0. Repeated rows go or stay together; without a model, or rows, nothing changes. Other columns may have any name."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

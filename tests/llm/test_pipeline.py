@@ -53,4 +53,21 @@ def test_odd(spark, odd, tmp_path, sf):
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, df, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
         df = spark.read.parquet(f"{tmp_path}/{name}")
-    assert df.count() > 0
+    assert {r.doc_id for r in df.collect()} >= {0, 1, 2, 3}  # texts without words, and short ones, reach the sequences
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_nothing_and_clashing_names(spark, odd, empty, sf, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, empty, sf).count() == 0
+    names = {"toxicity": {"node": "offending", "rank": "toxic"}, "ngram_jaccard_join": {"node": "keeps", "rank": "shingle_set"}, "benchmark_decontamination": {"node": "text_key0", "rank": "k1"}}
+    strange = odd.withColumnsRenamed(names.get(name, {"node": "spans", "rank": "piece"}))
+    got = stage(spark, strange, sf)
+    if name == "best_fit_packing":
+        assert sorted(str(r.doc_id) for r in got.where("piece = 0").collect()) == sorted(str(r.doc_id) for r in odd.collect())
+        return
+    rows = got.collect()
+    assert got.columns == strange.columns and {0, 1, 2} <= {r.doc_id for r in rows}
+    assert all(r.text is None for r in rows if r.doc_id == 0)
+    if name in ("toxicity", "benchmark_decontamination", "personal_data"):
+        assert len(rows) == odd.count()  # nothing toxic, no item, and none is dropped
