@@ -416,13 +416,26 @@ class Join:
     def blocks(self, many: DataFrame) -> DataFrame:
         """Crowded columns' entries, once per pair (i, j) of blocks of rows, by the pair's size classes (lo, hi).
 
-        A component with BLOCK rows or more has blocks of its own, which don't meet each other."""
+        A column of at most BLOCK ``rows`` is one block. In larger ones a component with BLOCK rows or more has blocks of its own,
+        which don't meet each other."""
+        own, one = ["token", "node", "n", "place", "comp"], F.lit("")
+        small = many.where(F.col("rows") <= BLOCK).select("token", F.lit(0).alias("lo"), F.lit(0).alias("hi"), one.alias("i"), one.alias("j"), one.alias("own"), F.lit(0).alias("side"), *own[1:])
+        return small.unionByName(self.great(many.where(F.col("rows") > BLOCK).select(*own)))
+
+    def great(self, many: DataFrame) -> DataFrame:
         step = (100 / self.percent) ** (1 / CLASSES)
-        cls = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step))).cast("int")
-        other = F.explode(F.sequence(F.col("cls") - CLASSES - 1, F.col("cls") + CLASSES + 1))
+
+        def size_class(n: Column) -> Column:
+            return F.floor(F.log(n.cast("double")) / F.log(F.lit(step))).cast("int")
+
+        cls = size_class(F.col("n"))
+        # the largest partner that the place leaves room for, and a class more, as logarithms are rounded
+        largest = F.greatest(F.floor((F.col("n").cast("long") - F.col("place")) * (100 + self.percent) / self.percent) - F.col("n"), F.lit(1))
+        lowest = F.col("cls") - CLASSES - 1
+        other = F.explode(F.sequence(lowest, F.greatest(lowest, F.least(F.col("cls") + CLASSES, size_class(largest)) + 1)))
         least = F.floor(F.pow(F.lit(step), F.col("c2").cast("double")) * (1 - 1e-9))  # no row of the class is smaller
         kept = (
-            many.select("token", "node", "n", "place", "comp").withColumn("cls", cls).withColumn("c2", other)
+            many.withColumn("cls", cls).withColumn("c2", other)
             .where(self.room(F.col("n"), F.col("place"), least))
             .select("token", F.least("cls", "c2").alias("lo"), F.greatest("cls", "c2").alias("hi"), (F.col("cls") > F.col("c2")).cast("int").alias("side"), "node", "n", "place", "comp")
         )

@@ -120,11 +120,12 @@ def test_sets_with_one_half_signature(spark, docs):
 def test_a_hot_column_is_linear(spark, docs):
     """20,000 rows of a column: those of one great component meet the others only, not each other."""
     join = jaccard.Join(docs.limit(5))
-    rows = spark.range(20_000).selectExpr("7L as token", "id as node", "cast(200 + id % 40 as int) as n", "cast(id % 20 as int) as place", "case when id % 200 = 0 then id else -1 end as comp")
+    rows = spark.range(20_000).selectExpr("7L as token", "id as node", "cast(200 + id % 40 as int) as n", "cast(id % 20 as int) as place", "case when id % 200 = 0 then id else -1 end as comp", "20000L as rows")
     dealt = join.blocks(rows)
-    assert dealt.count() < 12 * 20_000  # about seven size classes, one or two blocks each
+    assert dealt.count() < 6 * 20_000  # about five size classes, one or two blocks each
     assert dealt.groupBy("token", "lo", "hi", "i", "j").count().agg({"count": "max"}).first()[0] <= 3 * jaccard.BLOCK
     assert join.blocks(rows.withColumn("comp", rows.comp * 0)).count() == 0
+    assert join.blocks(rows.where("node < 2000").drop("rows").selectExpr("*", "2000L as rows")).count() == 2000  # one block
 
 
 def test_blocks_lose_no_pair(spark, docs, monkeypatch):
@@ -140,7 +141,7 @@ def test_blocks_lose_no_pair(spark, docs, monkeypatch):
         if a[1] < b[1] and a[4] != b[4] and min(a[2] - a[3], b[2] - b[3]) * 180 >= 80 * (a[2] + b[2])
     }
     met = {}
-    for x in join.blocks(spark.createDataFrame(rows, "token long, node long, n int, place int, comp long")).collect():
+    for x in join.blocks(spark.createDataFrame([(*x, len(rows)) for x in rows], "token long, node long, n int, place int, comp long, rows long")).collect():
         met.setdefault((x.lo, x.hi, x.i, x.j), []).append(x)
     got = Counter(
         (min(x.node, y.node), max(x.node, y.node)) for (lo, hi, i, j), xs in met.items() for k, x in enumerate(xs) for y in xs[:k]
