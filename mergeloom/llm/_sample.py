@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +46,19 @@ def fitting_sample(rows: DataFrame, bound: int) -> DataFrame:
         if share >= 1 or some.count() >= bound:  # the estimate was good, as it nearly always is
             return some.orderBy("_hash", *names).limit(bound).drop("_hash")
         share = min(1.0, 4 * share)
+
+
+@contextmanager
+def handed_back() -> Iterator[None]:
+    """Returns what fitting took from the system when it is over.
+
+    A model is fitted once and small; the allocators of the driver's process would keep the sample's and its features' memory
+    for as long as the session runs."""
+    try:
+        yield
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+        if trim:
+            trim(0)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from mergeloom.functions.session import small_batches, table
 from mergeloom.llm import _text
-from mergeloom.llm._sample import crc_mod, fitting_sample
+from mergeloom.llm._sample import crc_mod, fitting_sample, handed_back
 
 #: Labelled documents that the model is fitted on, at most.
 FIT_ROWS = 10_000
@@ -145,6 +145,11 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Model |
     """Fits on ``bound`` different labelled documents, at most. docs: doc_id, text; labels: doc_id, toxic."""
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labelled = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(fitting_sample(own, bound)), "doc_id")  # at most `bound` labels
+    with handed_back():
+        return _fitted(labelled, bound)
+
+
+def _fitted(labelled: DataFrame, bound: int) -> Model | None:
     rows = fitting_sample(labelled, bound).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])  # at most `bound` rows
     return fit(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy() > 0)
 

@@ -38,3 +38,15 @@ def test_weights_keep_all():
     h = np.unique(r.integers(1, 2**63, 5_000).astype(np.uint64) * np.uint64(2))
     t = _text.Weights(h, np.arange(len(h), dtype=float), bits=10)  # five hashes a slot
     assert (t(h) == np.arange(len(h))).all() and (t.rows(h + np.uint64(1)) == 0).all() and (t.rows(np.zeros(3, np.uint64)) == 0).all()
+
+
+def test_memory_is_handed_back():
+    import pyarrow as pa
+
+    from mergeloom.llm._sample import handed_back
+
+    with handed_back():
+        held = pa.array(range(1000))
+        del held
+    with pytest.raises(ValueError), handed_back():
+        raise ValueError
