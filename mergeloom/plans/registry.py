@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: list[str] = ["dedup", "fusion", "places", "ballots", "evidence", "planning", "reports", "streams"]
+MODULES: list[str] = ["dedup", "fusion", "places", "ballots", "evidence", "planning", "reports", "fillin", "streams"]
 
 
 def queries() -> dict:
