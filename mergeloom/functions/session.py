@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -17,10 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Seconds between two sweeps of the driver, at least.
+SWEEP_SECONDS = 10
+_swept = 0.0
+
+
+def sweep(sc: SparkContext) -> None:
+    """Lets the driver collect its garbage, unless it did so just now.
+
+    Spark deletes shuffle files, broadcasts and checkpoints of finished rounds only after the driver has collected what refers to them, by
+    itself every half an hour; and the heap, which grows between collections, shrinks after one."""
+    global _swept
+    if time.monotonic() - _swept < SWEEP_SECONDS:
+        return
+    gc.collect()  # what Python still names, the JVM can't collect
+    sc._jvm.System.gc()
+    _swept = time.monotonic()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read from there.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``.
+    What earlier rounds left is swept from time to time. The folder is the one that the cluster names in ``spark.checkpoint.dir``.
     Only on one machine (a ``local`` master, as in tests) a folder is made where that is unset."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -28,7 +49,9 @@ def cut(df: DataFrame) -> DataFrame:
         if not named and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mergeloom-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    sweep(sc)
+    return done
 
 
 def small_batches(df: DataFrame) -> DataFrame:
