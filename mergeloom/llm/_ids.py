@@ -22,10 +22,9 @@ class IdFilter:
         self.bits = min(MOST_BITS, max(1 << 12, 1 << (16 * n).bit_length()))
         bit = F.pmod(key, F.lit(self.bits))
         # at most bits / 64 rows
-        words = ids.groupBy(F.floor(bit / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("x")).collect()
+        words = ids.groupBy(F.floor(bit / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("x")).toArrow()
         self.words = np.zeros(self.bits // 64, np.int64)
-        for r in words:
-            self.words[r["w"]] = r["x"]
+        self.words[words.column("w").to_numpy()] = words.column("x").to_numpy()
 
     def __call__(self, ids: pa.Array) -> np.ndarray:
         at = np.mod(ids.cast(pa.int64()).fill_null(NULL).to_numpy(zero_copy_only=False), self.bits)
