@@ -12,8 +12,7 @@ def test_names_all_that_are_meant(spark):
     ids = [None, 0, 1, 63, 64, -5, 2**62, *range(1_000, 9_000, 7)]
     named = IdFilter(spark.createDataFrame([(x,) for x in ids], "id long"), "id")
     assert named(pa.array(ids, pa.int64())).all()
-    others = np.setdiff1d(np.arange(100_000, 200_000), ids)
-    assert named(pa.array(others)).mean() < 0.2
+    assert named(pa.array(np.arange(100_000, 200_000))).mean() < 0.2
 
 
 def test_no_ids(spark):
