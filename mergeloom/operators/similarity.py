@@ -51,7 +51,8 @@ def hamming_join(df: DataFrame, key: str, value: str, radius: int, bits: int = 6
     for i, band in enumerate(bands):
         agreed = agreed.bitwiseOR(F.when(part(differ, *band) == 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
     d = hamming(F.col("ha"), F.col("hb"))
-    near = x.join(y, [*on, "own", "bits"]).where((F.col("ha") < F.col("hb")) & (d <= radius) & (agreed.bitwiseAND(F.col("upto")) == F.col("own"))).select(*on, "ha", "hb", d.alias("distance"))
+    # Spark's estimate of an explode is one row for each that goes in, so it would broadcast a table of keys many times over the threshold
+    near = x.hint("merge").join(y, [*on, "own", "bits"]).where((F.col("ha") < F.col("hb")) & (d <= radius) & (agreed.bitwiseAND(F.col("upto")) == F.col("own"))).select(*on, "ha", "hb", d.alias("distance"))
     a, b = rows.select(*on, F.col("k").alias("a"), F.col("h").alias("ha")), rows.select(*on, F.col("k").alias("b"), F.col("h").alias("hb"))
     crossed = near.join(a, [*on, "ha"]).join(b, [*on, "hb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").where("a <> b")
     same = a.join(b.withColumnRenamed("hb", "ha"), [*on, "ha"]).where("a < b").select("a", "b", F.lit(0).alias("distance"))

@@ -32,6 +32,26 @@ def test_hamming_join_is_brute_force(hashes, radius):
     assert len({(r.u, r.v) for r in edges}) == len(edges) and roots([(r.u, r.v) for r in edges]) == roots([(a, b) for a, b, _ in want])
 
 
+def exploded_broadcasts(df):
+    """Lines below a broadcast in the plan that ``df`` ran with, or began with, where rows are multiplied."""
+    df.collect()
+    found, within = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if within is not None and depth <= within:
+            within = None
+        if "BroadcastExchange" in line and within is None:
+            within = depth
+        if within is not None and "Generate explode" in line:
+            found.append(line)
+    return found
+
+
+@pytest.mark.parametrize("make", [hamming_join, hamming_edges])
+def test_hamming_join_broadcasts_no_keys(hashes, make):
+    assert not exploded_broadcasts(make(hashes[1], "id", "h", 12))
+
+
 def test_hamming_join_with_nothing(spark):
     assert hamming_join(spark.createDataFrame([], "id long, h long"), "id", "h", 4).count() == 0
     assert hamming_join(spark.createDataFrame([(1, None), (2, None)], "id long, h long"), "id", "h", 4).count() == 0
