@@ -1,8 +1,11 @@
 """Queries that must read all rows of their tables: against their SQL, which has no filters, and by counts."""
 
+import pytest
+
 from mergeloom.operators.fusion import resolve_time, time_pool
 from mergeloom.plans import dedup, fusion, places
 
+from .test_operators import exploded_broadcasts
 from .test_queries import norm
 
 
@@ -78,3 +81,8 @@ def test_time_pool(spark):
     ])
     chosen = {r["item"]: r for r in resolve_time(pool, "item", "t", "source", "confidence").collect()}
     assert chosen["only fs"].source == "fs" and chosen["batch a"].source == "filename" and chosen["anchored"].t == t
+
+
+@pytest.mark.parametrize("name", ["cascade_outcomes"])
+def test_vectors_meet_without_a_broadcast_of_keys(spark, sf, name):
+    assert not exploded_broadcasts(dedup.QUERIES[name](spark, sf))
