@@ -83,6 +83,6 @@ def test_time_pool(spark):
     assert chosen["only fs"].source == "fs" and chosen["batch a"].source == "filename" and chosen["anchored"].t == t
 
 
-@pytest.mark.parametrize("name", ["cascade_outcomes", "review_samples"])
+@pytest.mark.parametrize("name", ["cascade_outcomes", "review_samples", "embedding_hamming"])
 def test_vectors_meet_without_a_broadcast_of_keys(spark, sf, name):
     assert not exploded_broadcasts(dedup.QUERIES[name](spark, sf))
