@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.functions.session import small_batches, table
+from mergeloom.functions.session import small_batches, sweep, table
 from mergeloom.llm import _text
 from mergeloom.llm._sample import crc_mod, fitting_sample, handed_back
 
@@ -145,12 +145,29 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Model |
     """Fits on ``bound`` different labelled documents, at most. docs: doc_id, text; labels: doc_id, toxic."""
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labelled = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(fitting_sample(own, bound)), "doc_id")  # at most `bound` labels
-    with handed_back():
-        return _fitted(labelled, bound)
+    return _fitted(labelled, bound)
 
 
 def _fitted(labelled: DataFrame, bound: int) -> Model | None:
-    rows = fitting_sample(labelled, bound).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])  # at most `bound` rows
+    """Fits in one task, so that the driver gets only the model: neither the sample's texts nor their features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with handed_back():
+            model = _fitted_here(list(batches))
+        if model:
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (model.hashes, model.weights)] + [pa.array([model.bias])], names=["hashes", "weights", "bias"])
+
+    sample = fitting_sample(labelled.select("doc_id", "text", "toxic"), bound)  # at most `bound` rows
+    sweep(labelled.sparkSession.sparkContext)
+    rows = small_batches(sample.coalesce(1)).mapInArrow(run, "hashes binary, weights binary, bias double").collect()
+    return Model(np.frombuffer(rows[0].hashes, np.uint64), np.frombuffer(rows[0].weights), rows[0].bias) if rows else None
+
+
+def _fitted_here(batches: list[pa.RecordBatch]) -> Model | None:
+    if not batches:
+        return None
+    rows = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    batches.clear()
     return fit(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy() > 0)
 
 

@@ -171,3 +171,16 @@ def test_licenses(spark, docs, odd, empty):
     marks = ("All rights reserved.", "Licensed under CC BY-NC 4.0", "Released under the MIT License", "Licensed under the Apache License", "licensed under the GNU General Public License")
     assert {r.doc_id for r in found} == {r.doc_id for r in docs.collect() if any(m in r.text for m in marks)}
     assert licenses.license_scan(odd).count() == 0 and licenses.license_scan(empty).count() == 0
+
+
+def test_toxicity_is_fitted_off_the_driver(spark, sf, monkeypatch):
+    """The driver gets a model, the same as one fitted on the whole sample, but no texts."""
+    from pyspark.sql import DataFrame
+
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    rows = docs.select("doc_id", "text").join(labels.groupBy("doc_id").max("toxic").withColumnRenamed("max(toxic)", "toxic"), "doc_id").where("text is not null and toxic is not null").toPandas().sort_values(["doc_id", "text"])
+    want = toxicity.fit(pa.array(rows.text), rows.toxic.to_numpy() > 0)
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: pytest.fail("texts on the driver"))
+    got = toxicity.train(docs, labels)
+    assert (got.hashes == want.hashes).all() and (got.weights == want.weights).all() and got.bias == want.bias
+    assert toxicity.train(docs, labels.limit(0)) is None and toxicity.train(docs, labels.where("toxic = 0")) is None
