@@ -3,6 +3,7 @@
 import pytest
 
 from mergeloom.operators.fusion import resolve_time, time_pool
+from mergeloom.operators.similarity import hamming_edges
 from mergeloom.plans import dedup, fusion, places
 
 from .test_operators import exploded_broadcasts
@@ -86,3 +87,11 @@ def test_time_pool(spark):
 @pytest.mark.parametrize("name", ["cascade_outcomes", "review_samples", "embedding_hamming"])
 def test_vectors_meet_without_a_broadcast_of_keys(spark, sf, name):
     assert not exploded_broadcasts(dedup.QUERIES[name](spark, sf))
+
+
+def test_radius_sweep_meets_without_a_broadcast_of_keys(spark, sf, monkeypatch):
+    met = []
+    monkeypatch.setattr(dedup, "hamming_edges", lambda *args: met.append(hamming_edges(*args)) or met[-1])
+    assert dedup.radius_sweep(spark, sf).count() == len(dedup.RADII)
+    # words of texts are multiplied below a broadcast as well, but added up again: only the keys count
+    assert len(met) == 1 and not [line for line in exploded_broadcasts(met[0]) if "struct(own" in line]
