@@ -40,8 +40,13 @@ def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sign_hash(values: Column, n: int) -> Column:
-    """Bit i is set if value i + 1 exceeds value i, for the first ``n`` neighbours of an array."""
-    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0).cast("long"), lambda acc, i: acc + F.when(F.element_at(values, i + 2) > F.element_at(values, i + 1), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    """Bit i is set if value i + 1 exceeds value i, for the first ``n`` neighbours of an array; a neighbour that is null or missing sets no bit.
+
+    The array is an argument of the functions, not a name within them: in a new session, where columns have the numbers by which Spark compares variables of
+    functions, 4.1 moves a filter on such a name to where its column isn't, and the query fails."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    rises = F.zip_with(F.slice(values, 2, n), F.slice(values, 1, n), lambda after, before: after > before)
+    return F.coalesce(F.aggregate(F.reverse(rises), zero, lambda acc, rise: F.shiftleft(acc, 1).bitwiseOR(F.when(rise, one).otherwise(zero))), zero)
 
 
 def frequency_hash(grid: Column) -> Column:

@@ -1,5 +1,11 @@
 """Queries that must read all rows of their tables: against their SQL, which has no filters, and by counts."""
 
+import random
+import subprocess
+import sys
+from itertools import combinations
+
+import duckdb
 import pytest
 
 from mergeloom.operators.fusion import resolve_time, time_pool
@@ -95,3 +101,43 @@ def test_radius_sweep_meets_without_a_broadcast_of_keys(spark, sf, monkeypatch):
     assert dedup.radius_sweep(spark, sf).count() == len(dedup.RADII)
     # words of texts are multiplied below a broadcast as well, but added up again: only the keys count
     assert len(met) == 1 and not [line for line in exploded_broadcasts(met[0]) if "struct(own" in line]
+
+
+@pytest.fixture(scope="module")
+def odd_vectors(spark, tmp_path_factory):
+    """Pairs 12 bits apart that agree on two of 14 bands only, each two of them; copies; vectors that are short, empty, null or have nulls."""
+    rnd, edges, hashes = random.Random(5), [i * 63 // 14 for i in range(15)], []
+    for chosen in combinations(range(14), 2):
+        h = rnd.getrandbits(63)
+        hashes += [h, h ^ sum(1 << rnd.randrange(edges[i], edges[i + 1]) for i in range(14) if i not in chosen)]
+    vectors = []
+    for h in hashes + hashes[:6]:
+        v = [0.0]
+        for i in range(63):
+            v.append(v[-1] + (1.0 if h >> i & 1 else -1.0))
+        vectors.append(v)
+    vectors += [vectors[0][:n] for n in range(0, 65, 4)] + [None, [None] * 64, [None if i % 9 == 0 else x for i, x in enumerate(vectors[1])]]
+    folder = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame([(i, v, 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    return folder, db
+
+
+def test_embedding_hamming_of_odd_vectors(spark, odd_vectors):
+    folder, db = odd_vectors
+    agree(dedup.embedding_hamming, dedup.SQL["embedding_hamming"], spark, folder, db)
+    assert db.sql(f"SELECT count(*) FROM ({dedup.SQL['embedding_hamming']}) WHERE distance = 12").fetchall()[0][0] >= 91
+
+
+def test_embedding_hamming_in_a_new_session(sf, oracle):
+    """The table was read once before, so the query's column is the session's fifth."""
+    code = f"""
+from pyspark.sql import SparkSession
+from mergeloom.plans.dedup import embedding_hamming
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+spark.read.parquet("{sf}/embeddings.parquet")
+print("pairs", sorted(tuple(r) for r in embedding_hamming(spark, "{sf}").collect()))
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert f"pairs {sorted(oracle.sql(dedup.SQL['embedding_hamming']).fetchall())}\n" in run.stdout, run.stderr[-2000:]
